@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import components, percentiles
+from . import clusters, components, leakage, percentiles, tokens
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -114,3 +114,53 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
 
     grouped = stage(_p4_groups(spark, folder), "grouped")
     return grouped.join(components.split_groups(grouped, {"train": 0.8, "validation": 0.1, "test": 0.1}), "group_id").select("annotation_id", "group_id", "split")
+
+
+# ---------------------------------------------------------------- p5
+
+P5_VECTOR = [f"dmvec{i}" for i in range(1, 11)]
+
+P5_SQL = f"""
+WITH f AS (SELECT * FROM features WHERE {" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in P5_VECTOR)} AND area >= 0 AND padded_size IS NOT NULL),
+e AS (SELECT a.cell_id AS a, b.cell_id AS b FROM f a JOIN f b ON a.padded_size = b.padded_size
+      WHERE abs(a.dmvec1 - b.dmvec1) <= 1 AND greatest(a.area, b.area) <= 2 * least(a.area, b.area)
+        AND {" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in P5_VECTOR)} <= 1),
+d AS (SELECT a, count(*) AS n, min(b) AS g FROM e GROUP BY a),
+s AS (SELECT g, count(*) AS size FROM d GROUP BY g),
+bad AS (SELECT DISTINCT x.g FROM e JOIN d x ON e.a = x.a JOIN d y ON e.b = y.a JOIN s ON s.g = x.g WHERE x.g <> y.g OR x.n <> s.size)
+SELECT d.a AS cell_id, d.g AS group_id FROM d JOIN s ON d.g = s.g WHERE s.size >= 5 AND d.g NOT IN (SELECT g FROM bad)
+"""
+
+
+@_query("p5_found", P5_SQL)
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The cells of every cluster."""
+    return clusters.spectral_clusters(_table(spark, folder, "features"), "cell_id", P5_VECTOR, "area", "padded_size")[0]
+
+
+@_query("p5_clusters")
+def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cluster with its size and its three most typical classes of cells: those of highest affinity inside it."""
+    found = clusters.spectral_clusters(_table(spark, folder, "features"), "cell_id", P5_VECTOR, "area", "padded_size")[1]
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc(F.round("affinity", 9)), "id")))
+    return ranked.where("rank <= 3").groupBy("group_id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda r: r.id).alias("typical"))
+
+
+# ---------------------------------------------------------------- p6
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@_query("p6_ids")
+def p6_ids(spark: SparkSession, folder: str, ranks_path: str = TOKENIZER) -> DataFrame:
+    """Ids of every text by byte_bpe_50k."""
+    return tokens.encode_corpus(_table(spark, folder, "documents"), ranks_path)
+
+
+# ---------------------------------------------------------------- p7
+
+
+@_query("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and evaluation items that share ten consecutive words."""
+    return leakage.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("doc_id", "item_id")
