@@ -7,13 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.runs import map_sorted_runs
 from ..session import stage
 
-_AREA_AXIS, _SIZE_AXIS = -2, -1  # of a vector: log2 of the area, and the size class stretched so that classes never meet
+ALL, MIXED, OPEN = 0, 1, 2  # of two balls' members: all similar, some similar and some not, not told by the balls
+_EPS = 1e-9
 
 
 def build_tree(sample: np.ndarray, weight: float, capacity: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,59 +57,92 @@ def leaves_of(tree: tuple, v: np.ndarray, radius: float) -> tuple[np.ndarray, np
     return np.concatenate(rows), np.concatenate(nodes), np.concatenate(homes)
 
 
-def similar_pairs(q: np.ndarray, c: np.ndarray, q_area: np.ndarray, c_area: np.ndarray, radius: float, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, candidate, squared distance) of all similar pairs, halving both sides until the rest is a small product."""
-    dims = q.shape[1] - 2
-    todo = [(np.arange(len(q)), np.arange(len(c)))]
+def cores_of(sample: np.ndarray, classes: np.ndarray, support: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, size class) of every place where ``support`` points of the sample lie within ``reach`` of their mean."""
+    centres, kinds = [], []
+    for k in np.unique(classes):
+        rest = sample[classes == k]
+        while len(rest) >= support:
+            c = rest[0]
+            for _ in range(3):
+                near = ((rest - c) ** 2).sum(1) <= reach * reach
+                if not near.any():
+                    break
+                c = rest[near].mean(axis=0)
+            near = ((rest - c) ** 2).sum(1) <= reach * reach
+            if near.sum() >= support:
+                centres.append(c), kinds.append(k)
+            near[0] = True
+            rest = rest[~near]
+    return np.array(centres, dtype=float).reshape(-1, sample.shape[1]), np.array(kinds, dtype=float)
+
+
+def ball_pairs(c: dict[str, np.ndarray], q: np.ndarray, a: np.ndarray, radius: float, ratio: float, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(asking ball, answering ball, kind) of all pairs of balls that may hold similar members, halving both sides until the rest is a small product."""
+    v, r, lo, hi, s = c["v"], c["r"], c["lo"], c["hi"], c["s"]
+    far = radius + 2 * reach + 1e-6
+    todo = [(q, a)]
     while todo:
         i, j = todo.pop()
         if not len(i) or not len(j):
             continue
         if len(i) * len(j) > 1 << 17 and len(i) > 16:
-            own = q[i]
-            a = int(np.argmax(own.std(axis=0)))
-            cut = np.median(own[:, a])
-            low = own[:, a] <= cut
+            own = v[i]
+            axis = int(np.argmax(own.std(axis=0)))
+            cut = np.median(own[:, axis])
+            low = own[:, axis] <= cut
             if not low.all():
-                x = c[j, a]
-                todo.append((i[low], j[x <= cut + radius + 1e-6]))
-                todo.append((i[~low], j[x > cut - radius - 1e-6]))
+                x = v[j, axis]
+                todo.append((i[low], j[x <= cut + far]))
+                todo.append((i[~low], j[x > cut - far]))
                 continue
         for at in range(0, len(i), 256):
             for to in range(0, len(j), 8192):
                 ii, jj = i[at : at + 256], j[to : to + 8192]
-                a, b = q[ii, :dims], c[jj, :dims]
-                close = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T <= radius * radius + 1e-6
-                x, y = np.nonzero(close)
-                x, y = ii[x], jj[y]
-                d2 = ((q[x, :dims] - c[y, :dims]) ** 2).sum(1)
-                ok = (d2 <= radius * radius) & (q[x, _SIZE_AXIS] == c[y, _SIZE_AXIS]) & (np.maximum(q_area[x], c_area[y]) <= ratio * np.minimum(q_area[x], c_area[y]))
-                yield x[ok], y[ok], d2[ok]
+                x, y = v[ii], v[jj]
+                near = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T <= (radius + r[ii][:, None] + r[jj][None]) ** 2 + 1e-6
+                m, n = np.nonzero(near)
+                m, n = ii[m], jj[n]
+                ok = (m != n) & (s[m] == s[n]) & (lo[n] <= ratio * hi[m]) & (lo[m] <= ratio * hi[n])
+                m, n = m[ok], n[ok]
+                d2 = ((v[m] - v[n]) ** 2).sum(1)
+                points = (r[m] == 0) & (r[n] == 0)
+                span = r[m] + r[n]
+                d = np.sqrt(d2)
+                within = np.where(points, d2 <= radius * radius, d + span <= radius - _EPS)
+                beyond = np.where(points, ~within, d - span > radius + _EPS)
+                fits = (hi[n] <= ratio * lo[m]) & (hi[m] <= ratio * lo[n])
+                kind = np.where(within, np.where(fits, ALL, MIXED), OPEN)
+                keep = ~beyond
+                yield m[keep], n[keep], kind[keep]
 
 
-def similarity_links(classes: DataFrame, radius: float, ratio: float, capacity: int = 60_000, sample_rows: int = 60_000, hot: int = 200_000) -> DataFrame:
-    """(a, b, w, d2): every ordered pair of similar classes (id, n, area, v), with the copies of b and their squared distance.
+def similarity_links(balls: DataFrame, radius: float, ratio: float, reach: float, capacity: int = 60_000, sample_rows: int = 60_000, hot: int = 200_000) -> DataFrame:
+    """(a, b, w, kind): every ordered pair of balls (id, n, s, lo, hi, r, v) that are or may be similar, with the records of b.
 
-    A k-d tree of a bounded sample says where the space is cut; every row is placed, and copied to the leaves within
-    reach. A leaf beyond ``hot`` rows is cut into blocks, and each pair of blocks is a group of its own.
+    A k-d tree of a bounded sample says where the space is cut; every ball is placed, and copied to the leaves within
+    reach. A leaf beyond ``hot`` balls is cut into blocks, and each pair of blocks is a group of its own.
     """
-    spark = classes.sparkSession
-    total = classes.count()
+    spark = balls.sparkSession
+    total = balls.count()
     share = min(1.0, sample_rows / max(1, total))
-    drawn = classes.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * sample_rows).collect()
-    sample = np.array([r[0] for r in drawn], dtype=float) if drawn else np.zeros((0, 12))
-    tree = spark.sparkContext.broadcast(build_tree(sample, 1 / share, capacity, radius))  # bounded by the sample
+    drawn = balls.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * sample_rows).collect()
+    sample = np.array([r[0] for r in drawn], dtype=float) if drawn else np.zeros((0, 1))
+    far = radius + 2 * reach + 1e-6
+    tree = spark.sparkContext.broadcast(build_tree(sample, 1 / share, capacity, far))  # bounded by the sample
+    columns = ["id", "n", "s", "lo", "hi", "r", "v"]
+    schema = "id long, n long, s double, lo double, hi double, r double, v array<double>"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
-            row, leaf, home = leaves_of(tree.value, v, radius)
+            row, leaf, home = leaves_of(tree.value, v, far)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("id", "n", "area", "v")], pa.array(leaf), pa.array(home)], names=["id", "n", "area", "v", "leaf", "home"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in columns], pa.array(leaf), pa.array(home)], names=[*columns, "leaf", "home"])
 
-    placed = stage(classes.select("id", "n", "area", "v").mapInArrow(place, "id long, n long, area double, v array<double>, leaf long, home boolean"), "placed")
+    placed = stage(balls.select(*columns).mapInArrow(place, f"{schema}, leaf long, home boolean"), "placed")
     full = placed.groupBy("leaf").count().where(F.col("count") > hot).select("leaf", F.ceil(F.col("count") / hot).cast("long").alias("k"))
     block = F.pmod(F.xxhash64("id"), F.col("k"))
     every = F.sequence(F.lit(0).cast("long"), F.col("k") - 1)
@@ -118,23 +152,57 @@ def similarity_links(classes: DataFrame, radius: float, ratio: float, capacity:
     divided = (
         placed.join(full, "leaf", "left")
         .withColumn("p", F.explode(F.when(F.col("k").isNull(), whole).when(F.col("home"), F.concat(asks, answers)).otherwise(answers)))
-        .select("id", "n", "area", "v", "leaf", "p.part", F.coalesce("p.asks", "home").alias("asks"), F.coalesce(~F.col("p.asks"), F.lit(True)).alias("answers"))
+        .select(*columns, "leaf", "p.part", F.coalesce("p.asks", "home").alias("asks"), F.coalesce(~F.col("p.asks"), F.lit(True)).alias("answers"))
     )
 
     def join(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         col = lambda c: table.column(c).combine_chunks()
-        ids, n, area = (col(c).to_numpy() for c in ("id", "n", "area"))
-        v = col("v").flatten().to_numpy().reshape(len(ids), -1)
-        asks, answers = (col(c).to_numpy(zero_copy_only=False) for c in ("asks", "answers"))
-        for lo, hi in zip(starts, np.append(starts[1:], len(ids)), strict=True):
-            q, c = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(answers[lo:hi])
-            for i, j, d2 in similar_pairs(v[q], v[c], area[q], area[c], radius, ratio):
-                a, b = q[i], c[j]
-                ok = ids[a] != ids[b]
+        c = {k: col(k).to_numpy() for k in ("id", "n", "s", "lo", "hi", "r")}
+        c["v"] = col("v").flatten().to_numpy().reshape(len(c["id"]), -1)
+        asks, answers = (col(k).to_numpy(zero_copy_only=False) for k in ("asks", "answers"))
+        for lo, hi in zip(starts, np.append(starts[1:], len(c["id"])), strict=True):
+            for i, j, kind in ball_pairs(c, lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(answers[lo:hi]), radius, ratio, reach):
+                ok = c["id"][i] != c["id"][j]
                 if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (ids[a], ids[b], n[b], d2)], names=["a", "b", "w", "d2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (c["id"][i], c["id"][j], c["n"][j], kind.astype(np.int32))], names=["a", "b", "w", "kind"])
+
+    return map_sorted_runs(divided, ["leaf", "part"], [], join, "a long, b long, w long, kind int")
+
+
+def settle(open_pairs: DataFrame, members: DataFrame, radius: float, ratio: float, hot: int = 20_000) -> DataFrame:
+    """(a, b, some, none): of open pairs of balls (a, b), whether some members are similar and whether some are not.
+
+    ``members`` has every member (node, id, lo, v) of the balls in question. The members of the smaller ball ``a`` meet
+    those of ``b`` in pairs of blocks of at most about ``hot`` members; only two flags leave a task.
+    """
+    sizes = members.groupBy("node").count().select("node", F.ceil(F.col("count") / hot).cast("long").alias("k"))
+    blocks = open_pairs.join(sizes.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(sizes.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+    pieces = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    mine = lambda k: F.pmod(F.xxhash64("id"), F.col(k))
+    left = blocks.join(members.withColumnRenamed("node", "a"), "a").select("a", "b", mine("ka").alias("i"), pieces("kb").alias("j"), F.lit(0).alias("side"), "lo", "v")
+    right = blocks.join(members.withColumnRenamed("node", "b"), "b").select("a", "b", pieces("ka").alias("i"), mine("kb").alias("j"), F.lit(1).alias("side"), "lo", "v")
+
+    def look(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        col = lambda c: table.column(c).combine_chunks()
+        a, b, side, lo = (col(k).to_numpy() for k in ("a", "b", "side", "lo"))
+        v = col("v").flatten().to_numpy().reshape(len(a), -1)
+        out = []
+        for x, y in zip(starts, np.append(starts[1:], len(a)), strict=True):
+            p, q = x + np.flatnonzero(side[x:y] == 0), x + np.flatnonzero(side[x:y] == 1)
+            some = none = False
+            for at in range(0, len(p), 64):
+                for to in range(0, len(q), 8192):
+                    i, j = p[at : at + 64], q[to : to + 8192]
+                    d2 = ((v[i][:, None] - v[j][None]) ** 2).sum(-1)
+                    ok = (d2 <= radius * radius) & (np.maximum(lo[i][:, None], lo[j][None]) <= ratio * np.minimum(lo[i][:, None], lo[j][None]))
+                    some, none = some or bool(ok.any()), none or not ok.all()
+                if some and none:
+                    break
+            out.append((a[x], b[x], some, none))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out]) for k in range(4)], names=["a", "b", "some", "none"])
 
-    return map_sorted_runs(divided, ["leaf", "part"], [], join, "a long, b long, w long, d2 double")
+    flags = map_sorted_runs(left.unionByName(right), ["a", "b", "i", "j"], ["side"], look, "a long, b long, some boolean, none boolean", rows=200_000)
+    return flags.groupBy("a", "b").agg(F.bool_or("some").alias("some"), F.bool_or("none").alias("none"))
 
 
 def power_iterate(nodes: DataFrame, links: DataFrame, rounds: int = 3) -> DataFrame:
@@ -176,38 +244,112 @@ def embedding_kmeans(at: DataFrame, least: int, step: float = 1e-3, rounds: int
 
 
 def spectral_clusters(
-    records: DataFrame, record_id: str, vector: list[str], area: str, size_class: str, radius: float = 1.0, ratio: float = 2.0, least: int = 5
-) -> tuple[DataFrame, DataFrame]:
-    """Clusters of at least ``least`` records that are all similar to each other and to nothing else.
+    records: DataFrame, record_id: str, vector: list[str], area: str, size_class: str, radius: float = 1.0, ratio: float = 2.0, least: int = 5, sample_rows: int = 30_000, support: int = 3
+) -> DataFrame:
+    """(record_id, group_id): clusters of at least ``least`` records that are all similar to each other and to nothing else.
 
     Similar are records of equal ``size_class`` whose vectors are at most ``radius`` apart and of whose areas the larger is
-    at most ``ratio`` times the smaller. Records equal in all these fields are one class from the start, so copies, however
-    many, are never paired. The classes' affinities are normalised, iterated and clustered by k-means; of a cluster so
-    found it is then checked that every member's links are exactly the other members.
+    at most ``ratio`` times the smaller; group_id is the least id of the cluster.
 
-    Returns members (record_id, group_id; group_id: the least id of the cluster) and classes (id, n, group_id, affinity:
-    records of the cluster weighted by exp(-squared distance)). Nulls and NaN in a field keep a record out; ties and
-    repeated rows are copies; an empty table gives empty results; extra columns are ignored.
+    Records are first gathered into balls whose members are all similar whatever their number: around the dense places of a
+    bounded sample, within half the radius and one power of ``ratio`` of area, and else one ball of radius 0 for all equal
+    records. Every record has a ball, and no pairs are made inside one. Affinities join balls: two balls' members are all
+    similar, or none is, by their radii; what the radii leave open is settled by the members themselves. The affinities are
+    normalised by degree, iterated and clustered by k-means; a cluster so found is kept if every ball's links are exactly
+    the other balls of the cluster, all wholly similar. The sample decides only what is gathered, never the result.
+
+    Nulls and NaN in a field keep a record out, as does a negative area, which exceeds its own double; ties and repeated
+    rows are records like others; an empty table gives none; extra columns are ignored.
     """
+    spark, reach = records.sparkSession, radius / 2 - 1e-6
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in [*vector, area, size_class]])
-    fields = [F.col(size_class).cast("long").alias("s"), F.col(area).cast("double").alias("area"), *[(F.col(c).cast("double") + 0.0).alias(f"v{i}") for i, c in enumerate(vector)]]
-    cells = records.where(known & F.col(record_id).isNotNull()).select(F.col(record_id).alias("id"), *fields)
-    names = [c for c in cells.columns if c != "id"]
-    keys: list[Column] = [F.xxhash64(*names).alias("h1"), F.xxhash64(F.lit(1), *names[::-1]).alias("h2")]
-    axes = [*[F.col(f"v{i}") for i in range(len(vector))], F.when(F.col("area") > 0, F.log2("area") * (radius / np.log2(ratio))).otherwise(F.lit(-1e6)), F.col("s") * (4.0 * radius)]
-    classes = cells.groupBy(*keys, *names).agg(F.min("id").alias("id"), F.count("*").alias("n")).where("area >= 0")  # a negative area exceeds its double
-    classes = stage(classes.select("h1", "h2", "id", "n", "area", F.array(*axes).alias("v")), "classes")
-    links = stage(similarity_links(classes, radius, ratio), "links")
+    number = lambda c: F.col(c).cast("double") + F.lit(0.0)
+    cells = records.where(known & F.col(record_id).isNotNull() & (F.col(area) >= 0)).select(
+        F.col(record_id).cast("long").alias("id"), number(size_class).alias("s"), number(area).alias("lo"), F.array(*map(number, vector)).alias("v")
+    )
+    share = min(1.0, sample_rows / max(1, cells.count()))
+    drawn = cells.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("s", "v").limit(2 * sample_rows).collect()
+    centres, kinds = cores_of(np.array([r[1] for r in drawn], dtype=float).reshape(-1, len(vector)), np.array([r[0] for r in drawn], dtype=float), support, reach)
+    held = spark.sparkContext.broadcast((centres, kinds))  # bounded by the sample
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, k = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            s, lo = batch.column("s").to_numpy(), batch.column("lo").to_numpy()
+            core, dist = np.full(len(v), -1, dtype=np.int32), np.zeros(len(v))
+            for kind in np.unique(s):
+                mine = np.flatnonzero(k == kind)
+                rows = np.flatnonzero(s == kind)
+                for at in range(0, len(rows) if len(mine) else 0, 2_048):
+                    some = rows[at : at + 2_048]
+                    d2 = (v[some] ** 2).sum(1)[:, None] + (c[mine] ** 2).sum(1)[None] - 2 * v[some] @ c[mine].T
+                    best = mine[d2.argmin(axis=1)]
+                    d = np.sqrt(((v[some] - c[best]) ** 2).sum(1))
+                    core[some], dist[some] = np.where(d <= reach, best, -1), np.where(d <= reach, d, 0.0)
+            octave = np.where(lo > 0, np.floor(np.log(np.maximum(lo, 1e-300)) / np.log(ratio)), -9999)
+            whole = np.where((lo > 0) & (ratio ** (octave + 1.0) <= lo), octave + 1, np.where((lo > 0) & (ratio**octave > lo), octave - 1, octave))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("s"), batch.column("lo"), batch.column("v"), pa.array(core), pa.array(whole.astype(np.int32)), pa.array(dist)],
+                names=["id", "s", "lo", "v", "core", "octave", "dist"],
+            )
+
+    gathered = cells.mapInArrow(gather, "id long, s double, lo double, v array<double>, core int, octave int, dist double")
+    centre = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "core int, v array<double>")
+    narrow = stage(gathered.select("id", "s", "lo", "core", "octave", "dist", F.when(F.col("core") < 0, F.col("v")).alias("v")), "gathered")
+    dense = narrow.where("core >= 0").groupBy("core", "octave", "s").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("lo").alias("hi"), F.max("dist").alias("r"))
+    dense = stage(dense.join(F.broadcast(centre), "core"), "dense")  # both bounded by the sample's places
+    single = stage(narrow.where("core < 0").groupBy("s", "lo", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "single")
+    ball = ["id", "n", "s", "lo", "hi", "r", "v"]
+    balls = dense.withColumn("r", F.greatest(F.col("r") + _EPS, F.lit(_EPS))).select(*ball).unionByName(single.select("id", "n", "s", "lo", F.col("lo").alias("hi"), F.lit(0.0).alias("r"), "v"))
+    balls = stage(balls, "balls")
+    links = stage(similarity_links(balls, radius, ratio, reach), "links")
+
+    count = balls.select("id", "n")
+    opened = links.where(F.col("kind") == OPEN).join(count.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").where((F.col("na") < F.col("w")) | ((F.col("na") == F.col("w")) & (F.col("a") < F.col("b")))).select("a", "b")
+    opened = stage(opened, "open")
+    if not opened.isEmpty():
+        asked = opened.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = F.broadcast(dense.join(asked, "id", "left_semi").select("core", "octave", "s", F.col("id").alias("node")))  # bounded by the sample's places
+        members = gathered.where("core >= 0").join(wanted, ["core", "octave", "s"]).select("node", "id", "lo", "v").unionByName(
+            single.join(asked, "id", "left_semi").select(F.col("id").alias("node"), "id", "lo", "v")
+        )
+        told = settle(opened, stage(members, "members"), radius, ratio).where("some").select("a", "b", F.when(F.col("none"), MIXED).otherwise(ALL).alias("kind"))
+        both = told.unionByName(told.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind"))
+        links = links.where(F.col("kind") != OPEN).unionByName(both.join(count.select(F.col("id").alias("b"), F.col("n").alias("w")), "b").select("a", "b", "w", "kind"))
+        links = stage(links, "links")
     linked = links.select(F.col("a").alias("id")).distinct()
-    nodes = classes.select("id", "n").join(linked, "id", "left_semi").unionByName(classes.where(F.col("n") >= least).select("id", "n").join(linked, "id", "left_anti"))
+    nodes = count.join(linked, "id", "left_semi").unionByName(count.where(F.col("n") >= least).join(linked, "id", "left_anti"))
     at = embedding_kmeans(power_iterate(nodes, links), least)
-    label = at.select(F.col("id").alias("b"), F.col("centre").alias("other"))
-    inner = links.join(label, "b").join(at.select(F.col("id").alias("a"), "centre"), "a").where("other = centre").groupBy("a").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.exp(-F.col("d2"))).alias("near"))
-    checked = at.join(inner, at.id == inner.a, "left").select("id", "n", "degree", "centre", (F.col("n") + F.coalesce("s", F.lit(0))).alias("inside"), (F.col("n") + F.coalesce("near", F.lit(0.0))).alias("affinity"))
+    other = at.select(F.col("id").alias("b"), F.col("centre").alias("other"))
+    inner = links.join(other, "b").join(at.select(F.col("id").alias("a"), "centre"), "a").where((F.col("other") == F.col("centre")) & (F.col("kind") == ALL)).groupBy("a").agg(F.sum("w").alias("inside"))
+    checked = at.join(inner, at.id == inner.a, "left").select("id", "n", "degree", "centre", (F.col("n") + F.coalesce("inside", F.lit(0))).alias("inside"))
     good = (
-        checked.groupBy("centre").agg(F.sum("n").alias("size"), F.min("inside").alias("i0"), F.max("degree").alias("d1"), F.min("id").alias("group_id"))
-        .where((F.col("size") >= least) & (F.col("i0") == F.col("size")) & (F.col("d1") == F.col("size"))).select("centre", "size", "group_id")
+        checked.groupBy("centre").agg(F.sum("n").alias("size"), F.min("inside").alias("least_inside"), F.max("degree").alias("most_links"), F.min("id").alias("group_id"))
+        .where((F.col("size") >= least) & (F.col("least_inside") == F.col("size")) & (F.col("most_links") == F.col("size"))).select("centre", "group_id")
+    )
+    found = stage(checked.join(good, "centre").select("id", "group_id"), "clusters")
+    in_dense = F.broadcast(dense.join(found, "id").select("core", "octave", "s", "group_id"))  # bounded by the sample's places
+    in_single = single.join(found, "id").select("s", "lo", "v", "group_id")
+    return (
+        narrow.where("core >= 0").join(in_dense, ["core", "octave", "s"]).select(F.col("id").alias(record_id), "group_id")
+        .unionByName(narrow.where("core < 0").join(in_single, ["s", "lo", "v"]).select(F.col("id").alias(record_id), "group_id"))
     )
-    found = stage(checked.join(good, "centre").select("id", "n", "size", "group_id", "affinity").join(classes.select("id", "h1", "h2"), "id"), "clusters")
-    members = cells.select("id", *keys).join(found.select("h1", "h2", "group_id"), ["h1", "h2"]).select(F.col("id").alias(record_id), "group_id")
-    return members, found
+
+
+def typical_members(members: DataFrame, records: DataFrame, record_id: str, vector: list[str], top: int = 3, radius: float = 1.0) -> DataFrame:
+    """(group_id, size, typical): every cluster's size and the ids of its ``top`` members of highest internal affinity.
+
+    The affinity of two members is 1 - (distance / radius)^2, so a member's sum over its cluster follows from the cluster's
+    sums of vectors and of squares, without pairs. Ties go to the smaller id.
+    """
+    v = [F.col(c).cast("double") for c in vector]
+    rows = members.join(records.select(record_id, *[x.alias(f"v{i}") for i, x in enumerate(v)]), record_id)
+    square = reduce(lambda a, b: a + b, [F.col(f"v{i}") * F.col(f"v{i}") for i in range(len(v))])
+    sums = rows.groupBy("group_id").agg(F.count("*").alias("size"), F.sum(square).alias("q"), *[F.sum(f"v{i}").alias(f"s{i}") for i in range(len(v))])
+    dot = reduce(lambda a, b: a + b, [F.col(f"v{i}") * F.col(f"s{i}") for i in range(len(v))])
+    affinity = F.col("size") - (F.col("size") * square - 2 * dot + F.col("q")) / (radius * radius)
+    ranked = rows.join(sums, "group_id").withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc(F.round(affinity, 4)), record_id))).where(F.col("rank") <= top)
+    return ranked.groupBy("group_id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", record_id))), lambda r: r[record_id]).alias("typical"))

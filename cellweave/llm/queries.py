@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
 from . import clusters, components, leakage, percentiles, tokens
 
 QUERIES: dict = {}
@@ -110,8 +111,6 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 @_query("p4_splits")
 def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     """Every contour with its group and split: train, validation and test near 80, 10 and 10 percent."""
-    from ..session import stage
-
     grouped = stage(_p4_groups(spark, folder), "grouped")
     return grouped.join(components.split_groups(grouped, {"train": 0.8, "validation": 0.1, "test": 0.1}), "group_id").select("annotation_id", "group_id", "split")
 
@@ -135,15 +134,15 @@ SELECT d.a AS cell_id, d.g AS group_id FROM d JOIN s ON d.g = s.g WHERE s.size >
 @_query("p5_found", P5_SQL)
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The cells of every cluster."""
-    return clusters.spectral_clusters(_table(spark, folder, "features"), "cell_id", P5_VECTOR, "area", "padded_size")[0]
+    return clusters.spectral_clusters(_table(spark, folder, "features"), "cell_id", P5_VECTOR, "area", "padded_size")
 
 
 @_query("p5_clusters")
 def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Every cluster with its size and its three most typical classes of cells: those of highest affinity inside it."""
-    found = clusters.spectral_clusters(_table(spark, folder, "features"), "cell_id", P5_VECTOR, "area", "padded_size")[1]
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc(F.round("affinity", 9)), "id")))
-    return ranked.where("rank <= 3").groupBy("group_id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda r: r.id).alias("typical"))
+    """Every cluster with its size and its three most typical cells."""
+    features = _table(spark, folder, "features")
+    members = stage(clusters.spectral_clusters(features, "cell_id", P5_VECTOR, "area", "padded_size"), "members")
+    return clusters.typical_members(members, features, "cell_id", P5_VECTOR)
 
 
 # ---------------------------------------------------------------- p6
