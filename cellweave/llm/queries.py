@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from . import clusters, components, leakage, percentiles, tokens
+from . import clusters, components, leakage, percentiles, residue, tokens
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -163,3 +163,12 @@ def p6_ids(spark: SparkSession, folder: str, ranks_path: str = TOKENIZER) -> Dat
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and evaluation items that share ten consecutive words."""
     return leakage.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+# ---------------------------------------------------------------- p8
+
+
+@_query("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold what a template, a server or a page tool left in place of content."""
+    return residue.residue_records(_table(spark, folder, "documents"))
