@@ -76,7 +76,7 @@ def structure_of(name: Column) -> Column:
     side = F.upper(F.substring(F.regexp_extract(bare, NAME_SIDE, 2), 1, 1))
     stem = F.when(side == "", bare).otherwise(F.regexp_extract(bare, NAME_SIDE, 1))
     stem = F.when(stem == "2kk", F.lit("2k")).otherwise(stem)
-    return F.when(bare != "", F.concat_ws("|", stem, side))
+    return F.when(bare != "", F.concat(stem, F.lit("|"), side))
 
 
 def _p4_groups(spark: SparkSession, folder: str) -> DataFrame:

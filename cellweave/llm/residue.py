@@ -25,8 +25,10 @@ UNFILLED = "|".join(
     ]
 )
 # What a missing value becomes when it is printed.
-UNRESOLVED = r"\[object Object\]|#REF!|#VALUE!|#N/A|#NAME\?|\bNaN NaN\b|\bnull null\b|\bundefined undefined\b"
-_NUMBERED = r"\{\d\}"
+UNRESOLVED = (
+    r"\[object Object\]|#REF!|#VALUE!|#N/A|#NAME\?|\bNaN NaN\b|\bnull null\b|(?<!word )(?<!(?:is|was|be) )(?<!(?:are|were) )\bundefined\b(?! (?:variable|index|in|for|by|behaviou?r)\b)"
+)
+_NUMBERED = r"(?<!set )\{\d\}"
 _OPEN, _CLOSE = r'["“„‘\'«‹(`]', r'["”“’\'»›)`]'
 _MARKUP = r"(?i)</?(?:a|b|i|u|p|s|br|hr|em|strong|span|div|table|tr|td|th|ul|ol|li|h[1-6]|img|sup|sub|pre|code|small|big|center|font|body|html|head|script|style)(?:\s[^<>]*)?/?>|<\|[^<>|]*\|>"
 
@@ -60,7 +62,7 @@ def passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     Marks left by templates become tokens of their own; those in quotes or in code are told apart, since a text may speak
     of them. A passage is trusted if it holds an unquoted mark, a stack trace or Latin filler, or stands in a short record
-    that an error code, a notice or known filler gives away.
+    that an error code, a notice or known filler gives away. Numbers alone are a passage only in such a record.
     """
     t = F.regexp_replace(F.col(text), "[" + _FLAG + "]", "")
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#(?:39|x27);", "'"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
@@ -72,18 +74,18 @@ def passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = F.regexp_replace(t, rf"{_OPEN}(?:{UNFILLED}|{_NUMBERED}|{UNRESOLVED}|\[{_NAME}\]){_CLOSE}(?!_missing)", f" {_FLAG}quoted ")
     t = F.regexp_replace(t, UNFILLED, f" {_FLAG}unfilled ")
     t = F.regexp_replace(t, UNRESOLVED, f" {_FLAG}unresolved ")
-    t = F.regexp_replace(t, _NUMBERED, f" {_FLAG}numbered ")
+    t = F.regexp_replace(t, _NUMBERED, f" {_FLAG}unfilled ")
     short = F.size(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))) <= 40
     gives_away = F.col("raw").rlike(TRUSTED_ERROR) | F.col("raw").rlike(TRUSTED_RECORD)
     cut = F.split("t", r"\n+|\s\|\s|(?<=[.!?…])\s+|(?<=[。！？؟।])\s*")
     tokens = F.regexp_extract_all(F.regexp_replace(F.lower("p"), r"\d+", "0"), F.lit(rf"([{_FLAG}\p{{L}}\p{{M}}\p{{N}}]+)"), F.lit(1))
     latin = F.array(*[F.lit(w) for w in LATIN.split()])
     base = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("d"), raw.alias("raw"), t.alias("t"))
-    cuts = base.select("d", (short & gives_away).alias("told"), F.explode(cut).alias("p")).where(F.col("p").rlike(r"[\p{L}\p{N}]|" + _FLAG))
+    cuts = base.select("d", (short & gives_away).alias("told"), F.explode(cut).alias("p")).where(F.col("p").rlike(r"\p{L}|" + _FLAG) | (F.col("told") & F.col("p").rlike(r"\p{N}")))
     words = cuts.select("d", "told", "p", tokens.alias("tokens")).where(F.size("tokens") > 0)
     filler = (F.size("tokens") >= 4) & (2 * F.size(F.filter("tokens", lambda w: F.array_contains(latin, w))) >= F.size("tokens"))
     marked = F.exists("tokens", lambda w: w.isin(f"{_FLAG}unfilled", f"{_FLAG}unresolved"))
-    return words.select("d", "tokens", (F.col("told") | marked | filler | F.col("p").rlike(TRUSTED_TRACE) | F.col("p").rlike(TRUSTED_START)).alias("trusted"))
+    return words.select("d", "tokens", (F.col("told") | marked | filler | F.col("p").rlike(rf"^\s*{_PREFIX}\d{{3,5}}\b") | F.col("p").rlike(TRUSTED_TRACE) | F.col("p").rlike(TRUSTED_START)).alias("trusted"))
 
 
 def features(tokens: Column) -> list[Column]:
