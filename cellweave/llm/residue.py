@@ -45,8 +45,8 @@ TRUSTED_START = "(?i)" + "|".join(
         r"(?:^|,)\s*use a browser that can run scripts", r"^(?:[\W_]*(?:bla|blah|blindtext|test|text|asdf|x{2,}|sample text)\b){3,}",
         r"^\s*(?:this (?:site|page|app|application) |this )?(?:needs|requires) (?:javascript|scripts?|js)\b", r"^\s*you need to (?:turn on|enable) (?:js|javascript|scripts?)\b",
         r"^\s*(?:java)?scripts? (?:is|are) (?:disabled|required|turned off|switched off)\b", r"^\s*your browser does not support (?:java)?script", r"^\s*bitte aktivieren sie javascript",
-        r"^\s*diese anwendung benötigt (?:java)?s[ck]ripte?", r"^\s*active javascript", r"^\s*activez javascript", r"^\s*este sitio necesita (?:scripts|javascript)", r"^\s*ce site a besoin (?:de|des) (?:javascript|scripts)",
-        r"^\s*ative o javascript", r"^\s*включите javascript", r"^\s*ενεργοποιήστε τη javascript", r"javascriptを有効",
+        r"^\s*diese anwendung benötigt (?:java)?s[ck]ripte?", r"^\s*active javascript", r"^\s*(?:activez|veuillez activer) (?:le )?javascript", r"^\s*este sitio necesita (?:scripts|javascript)", r"^\s*ce site a besoin (?:de|des) (?:javascript|scripts)",
+        r"^\s*ative o javascript", r"^\s*включите javascript", r"^\s*ενεργοποιήστε τη javascript", r"javascriptを有効", r"^\s*(?:サーバーで問題が発生|ページが見つかりません)",
         r"^\s*your text (?:goes )?here", r"\bclick to edit\b", r"^\s*this is a placeholder for", r"^\s*replace this (?:paragraph|text)", r"^\s*add (?:a|your) (?:caption|title|text)",
         r"^\s*hier steht (?:später )?ihr text", r"^\s*seu texto aqui", r"^\s*su texto (?:va )?aquí", r"^\s*texte de remplissage", r"^\s*εδώ μπαίνει το κείμενό", r"^\s*здесь будет ваш текст", r"^\s*ここに文章を入力",
     ]
