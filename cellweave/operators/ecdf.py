@@ -48,7 +48,8 @@ def nearest_rank(n: Column, q: Column) -> Column:
 def quantiles(values: DataFrame, keys: list[str], levels: Sequence[float]) -> DataFrame:
     """(keys, j, v): the value at the nearest height for every level; no interpolation."""
     each = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(q)).alias("q")) for j, q in enumerate(levels)])
-    mine = F.filter(each, lambda e: (nearest_rank(F.col("n"), e.q) >= F.col("less")) & (nearest_rank(F.col("n"), e.q) < F.col("less") + F.col("copies")))
+    close = lambda e: (e.q * F.col("n") >= F.col("less") - 2) & (e.q * F.col("n") <= F.col("less") + F.col("copies") + 1)  # noqa: E731  # few levels are near a value
+    mine = F.filter(F.filter(each, close), lambda e: (nearest_rank(F.col("n"), e.q) >= F.col("less")) & (nearest_rank(F.col("n"), e.q) < F.col("less") + F.col("copies")))
     return ecdf(values, keys).select(*keys, "v", F.explode(mine).alias("_e")).select(*keys, F.col("_e.j").alias("j"), "v")
 
 
