@@ -67,7 +67,7 @@ def passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = F.regexp_replace(F.col(text), "[" + _FLAG + "]", "")
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#(?:39|x27);", "'"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         t = F.regexp_replace(t, entity, plain)
-    raw = t
+    raw, t = t, F.col("raw")
     t = F.regexp_replace(t, "`[^`\n]{1,80}`", f" {_FLAG}code ")
     t = F.regexp_replace(t, _MARKUP, " ")
     t = F.regexp_replace(t, r"(?i)</?noscript[^<>]*>", "\n")
@@ -80,9 +80,10 @@ def passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     cut = F.split("t", r"\n+|\s\|\s|(?<=[.!?…])\s+|(?<=[。！？؟।])\s*")
     tokens = F.regexp_extract_all(F.regexp_replace(F.lower("p"), r"\d+", "0"), F.lit(rf"([{_FLAG}\p{{L}}\p{{M}}\p{{N}}]+)"), F.lit(1))
     latin = F.array(*[F.lit(w) for w in LATIN.split()])
-    base = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("d"), raw.alias("raw"), t.alias("t"))
-    cuts = base.select("d", (short & gives_away).alias("told"), F.explode(cut).alias("p")).where(F.col("p").rlike(r"\p{L}|" + _FLAG) | (F.col("told") & F.col("p").rlike(r"\p{N}")))
-    words = cuts.select("d", "told", "p", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))  # noqa: E731  # a generator is not copied into every use of its column
+    base = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("d"), once(raw, "raw")).select("d", "raw", once(t, "t"))
+    cuts = base.select("d", "t", once(gives_away & short, "told")).select("d", "told", F.explode(cut).alias("p")).where(F.col("p").rlike(r"\p{L}|" + _FLAG) | (F.col("told") & F.col("p").rlike(r"\p{N}")))
+    words = cuts.select("d", "told", "p", tokens.alias("tokens"))
     filler = (F.size("tokens") >= 4) & (2 * F.size(F.filter("tokens", lambda w: F.array_contains(latin, w))) >= F.size("tokens"))
     marked = F.exists("tokens", lambda w: w.isin(f"{_FLAG}unfilled", f"{_FLAG}unresolved"))
     return words.select("d", "tokens", (F.col("told") | marked | filler | F.col("p").rlike(rf"^\s*{_PREFIX}\d{{3,5}}\b") | F.col("p").rlike(TRUSTED_TRACE) | F.col("p").rlike(TRUSTED_START)).alias("trusted"))
