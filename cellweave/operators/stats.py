@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 def entropy(df: DataFrame, code: list[str], rare: int = 0) -> DataFrame:
     """Shannon entropy, in nats, of the code columns; codes seen at most ``rare`` times are one code."""
-    counts = df.groupBy(*code).agg(F.count("*").alias("c"))
-    pooled = counts.withColumn("r", F.col("c") <= rare)
-    parts = pooled.agg(F.sum("c").alias("n"), F.sum(F.when(~F.col("r"), F.col("c") * F.ln("c")).otherwise(0.0)).alias("clogc"), F.coalesce(F.sum(F.when(F.col("r"), F.col("c"))), F.lit(0)).alias("rare"))
+    counts = df.groupBy(*code).agg(F.count("*").alias("_c")).select("_c", (F.col("_c") <= rare).alias("_r"))
+    parts = counts.agg(F.sum("_c").alias("n"), F.sum(F.when(~F.col("_r"), F.col("_c") * F.ln("_c")).otherwise(0.0)).alias("clogc"), F.coalesce(F.sum(F.when(F.col("_r"), F.col("_c"))), F.lit(0)).alias("rare"))
     total = F.col("clogc") + F.when(F.col("rare") > 0, F.col("rare") * F.ln(F.greatest(F.lit(1), F.col("rare")))).otherwise(0.0)
     return parts.select("n", (F.ln("n") - total / F.col("n")).alias("entropy"))
 
