@@ -63,10 +63,10 @@ def compact(df: DataFrame, by: list[str], dims: list[str], path: str | None = No
     source, else ``RuntimeError``. Rows with a null in ``dims`` are kept, ahead of the others; ties, repeated rows and
     extra columns are kept as they are; an empty table gives one empty file.
     """
-    spark, columns = df.sparkSession, df.columns
-    taken = {"_code", "_bin", "_file", "_start", "_n"} & set(columns)
-    if taken:
-        raise ValueError(f"reserved column names: {sorted(taken)}")
+    spark, schema, names = df.sparkSession, df.schema, df.columns
+    columns = [f"c{i}" for i in range(len(names))]  # so that no name of the source clashes with one used here
+    by, dims = ([columns[names.index(c)] for c in part] for part in (by, dims))
+    df = stage(df.toDF(*columns), "source")  # the source may be costly to read; it is read once
     spans = df.agg(*[f(F.col(c).cast("long")).alias(f"{k}{i}") for i, c in enumerate(dims) for k, f in (("lo", F.min), ("hi", F.max))]).first()
     low = [spans[f"lo{i}"] or 0 for i in range(len(dims))]
     width = max(1, max((spans[f"hi{i}"] or 0) - low[i] for i in range(len(dims))).bit_length())
@@ -82,8 +82,8 @@ def compact(df: DataFrame, by: list[str], dims: list[str], path: str | None = No
         return pd.Series(out)
 
     coded = df.withColumn("_code", code(F.struct(*[F.col(c).cast("long").alias(f"d{i}") for i, c in enumerate(dims)])))
-    source = stage(coded.withColumn("_bin", F.shiftright("_code", 3 * len(dims))), "coded")
-    before = digest(source, columns)
+    source = coded.withColumn("_bin", F.shiftright("_code", 3 * len(dims)))
+    before = digest(df, columns)
     histogram = source.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
     placed = global_prefix(histogram, [*by, "_bin"], "_n", out="_start")
     files = max(1, -(-before[0] // rows_per_file))
@@ -104,8 +104,8 @@ def compact(df: DataFrame, by: list[str], dims: list[str], path: str | None = No
         .drop("_code", "_bin", "_file")
     )
     path = path or fresh_path(spark, "compacted")
-    target.write.parquet(path)
-    after = digest(spark.read.schema(df.schema).parquet(path), columns)
+    target.toDF(*names).write.parquet(path)
+    after = digest(spark.read.schema(schema).parquet(path), names)
     if after != before:
         raise RuntimeError(f"compaction changed the rows: {before} before, {after} after")
     return Compacted(path, files, before[0], after)

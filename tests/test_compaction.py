@@ -48,7 +48,7 @@ def test_compact_keeps_every_row(spark):
     rng = np.random.default_rng(1)
     rows = [("a" if i % 3 else None, int(i % 5), int(x), int(y) if i % 11 else None, i) for i, (x, y) in enumerate(rng.integers(-50, 50, (600, 2)))]
     rows += [("hot", 1, 7, 7, 1)] * 300
-    df = spark.createDataFrame(rows, "stack string, section int, x int, y int, extra int")
+    df = spark.createDataFrame(rows, "stack string, section int, x int, y int, _code int")
     done = compact(df, ["stack"], ["section", "x", "y"], rows_per_file=100)
     back = spark.read.schema(df.schema).parquet(done.path)
     assert Counter(map(tuple, back.collect())) == Counter(rows)
