@@ -50,8 +50,8 @@ def build_forest(sample: list[tuple], bounds: tuple[float, float, float, float],
         planes.setdefault(tuple(key), []).append((x, y))
     roots, box, child = {}, [], []
     for key, points in planes.items():
-        if len(points) * weight <= capacity:
-            continue
+        if len(points) * weight <= capacity or len(points) < 8:
+            continue  # too little is known; a leaf that turns out too full is cut into blocks
         roots[key] = len(box)
         box.append((x0, y0, side))
         child.append(-1)
@@ -59,7 +59,7 @@ def build_forest(sample: list[tuple], bounds: tuple[float, float, float, float],
         while open_nodes:
             node, own = open_nodes.pop()
             bx, by, s = box[node]
-            if len(own) * weight <= capacity or s / 2 < least_side:
+            if len(own) * weight <= capacity or len(own) < 8 or s / 2 < least_side:
                 continue
             child[node] = len(box)
             right, upper = own[:, 0] >= bx + s / 2, own[:, 1] >= by + s / 2
@@ -155,15 +155,14 @@ def near_and_inside(
 
     def roots(batch: pa.RecordBatch) -> np.ndarray:
         planes = trees.value[0]
-        if not planes:
+        if not planes or not batch.num_rows:
             return np.full(batch.num_rows, -1)
         p0 = batch.column("p0").dictionary_encode()
-        names, code, p1 = p0.dictionary.to_pylist(), p0.indices.to_numpy(), batch.column("p1").to_numpy()
-        out = np.full(batch.num_rows, -1)
-        for (a, b), root in planes.items():
-            if a in names:
-                out[(code == names.index(a)) & (p1 == b)] = root
-        return out
+        names, code, p1 = p0.dictionary.to_pylist(), p0.indices.to_numpy().astype(np.int64), batch.column("p1").to_numpy()
+        numbers, place = np.unique(p1, return_inverse=True)
+        pairs, at = np.unique(code * len(numbers) + place, return_inverse=True)
+        known = [planes.get((names[p // len(numbers)], int(numbers[p % len(numbers)])), -1) for p in pairs.tolist()]
+        return np.array(known, dtype=np.int64)[at]
 
     def emit(batch, row, leaf, kind, xs=None):
         take = pa.array(row)
