@@ -136,3 +136,21 @@ def ks_p_value(d: Column, na: Column, nb: Column, terms: int = 100) -> Column:
     x = (e + 0.12 + 0.11 / e) * d
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x))
     return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), F.when(x < 0.2, F.lit(1.0)).otherwise(series)))
+
+
+def interpolated_heights(a: DataFrame, b: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
+    """(keys, v, y): like ``merged_heights``, with the second distribution's height interpolated between its neighbours of ``v``.
+
+    Beyond the second's values its end heights count.
+    """
+    left, right = thinned(ecdf(a, keys), most), thinned(ecdf(b, keys), most)
+    tagged = left.select(*keys, "v", (F.col("less") / F.col("n")).alias("ya"), F.lit(None).cast("double").alias("yb")).unionByName(
+        right.select(*keys, "v", F.lit(None).cast("double").alias("ya"), (F.col("less") / F.col("n")).alias("yb"))
+    )
+    w = Window.partitionBy(*keys).orderBy("v")  # at most 2 ``most`` rows of each side
+    point = F.when(F.col("yb").isNotNull(), F.struct(F.col("v").alias("x"), F.col("yb").alias("h")))
+    p, q = F.last(point, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first(point, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    both = tagged.withColumn("_p", p).withColumn("_q", q).where("ya IS NOT NULL AND (_p IS NOT NULL OR _q IS NOT NULL)")
+    share = F.coalesce((F.col("v") - F.col("_p.x")) / F.nullif(F.col("_q.x") - F.col("_p.x"), F.lit(0.0)), F.lit(0.0))
+    height = F.when(F.col("_p").isNull(), F.col("_q.h")).when(F.col("_q").isNull(), F.col("_p.h")).otherwise(F.col("_p.h") + share * (F.col("_q.h") - F.col("_p.h")))
+    return both.select(*keys, "v", ((F.col("ya") + height) / 2).alias("y"))

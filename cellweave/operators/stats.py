@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,16 +53,31 @@ def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = 0.05, warm: int = 10) -> DataFrame:
-    """Exponential moving average in ``order``, begun with the mean of the first ``warm`` values; needs sequences of bounded length."""
-    listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_s"))
-    head = F.slice("_s", 1, warm)
-    start = F.aggregate(head, F.lit(0.0), lambda s, e: s + e["_v"]) / F.size(head)
+    """(keys, order, ema): exponential moving average in ``order``, begun with the mean of the first ``warm`` values.
+
+    Sequences are cut into blocks so long that what lies more than one block back weighs less than a double resolves
+    (about 41 / alpha values). A block is folded on its own and starts from what the two before it leave over, so no task
+    holds a whole sequence. Null values must be left out before.
+    """
+    from .ranking import global_prefix
+
+    keep = 1.0 - alpha
+    block = math.ceil(41.5 / -math.log(keep))
+    at = global_prefix(df.select(*keys, *order, F.col(value).cast("double").alias("_x")), [*keys, *order], F.lit(1), "_at")
+    first = at.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    placed = at.join(first, keys).withColumn("_i", F.col("_at") - F.col("_first"))
+    start = placed.where(F.col("_i") < warm).groupBy(*keys).agg(F.avg("_x").alias("_warm"))
+    blocks = placed.groupBy(*keys, F.floor(F.col("_i") / block).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_i", "_x", *order))).alias("_s"))  # at most ``block`` each
+    fold = F.aggregate("_s", F.lit(0.0), lambda s, e: s * keep + e["_x"] * alpha)
+    w = Window.partitionBy(*keys).orderBy("_b")
+    left = blocks.withColumn("_f", fold).withColumn("_f1", F.lag("_f", 1).over(w)).withColumn("_f2", F.lag("_f", 2).over(w)).join(start, keys)
+    base = F.when(F.col("_b") == 0, F.col("_warm")).otherwise(F.col("_f1") + keep**block * F.coalesce("_f2", "_warm"))
     steps = F.aggregate(
         "_s",
-        F.struct(start.alias("m"), F.array().cast("array<double>").alias("out")),
-        lambda a, e: F.struct((a.m * (1 - alpha) + e["_v"] * alpha).alias("m"), F.concat(a.out, F.array(a.m * (1 - alpha) + e["_v"] * alpha)).alias("out")),
+        F.struct(base.alias("m"), F.array().cast("array<double>").alias("out")),
+        lambda a, e: F.struct((a.m * keep + e["_x"] * alpha).alias("m"), F.concat(a.out, F.array(a.m * keep + e["_x"] * alpha)).alias("out")),
     )
-    return listed.withColumn("_o", steps.out).select(*keys, F.explode(F.arrays_zip("_s", "_o")).alias("_z")).select(*keys, *[F.col(f"_z._s.{c}").alias(c) for c in order], F.col("_z._o").alias("ema"))
+    return left.withColumn("_o", steps.out).select(*keys, F.explode(F.arrays_zip("_s", "_o")).alias("_z")).select(*keys, *[F.col(f"_z._s.{c}").alias(c) for c in order], F.col("_z._o").alias("ema"))
 
 
 def half_width(curve: DataFrame, keys: list[str], position: str, score: str) -> DataFrame:
@@ -101,3 +117,15 @@ def top_by_group(df: DataFrame, group: Column, value: str, k: int) -> DataFrame:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def autocorrelation(df: DataFrame, keys: list[str], position: str, value: str, lags: int) -> DataFrame:
+    """(keys, lag, r, n): correlation of the standardised value with itself ``lag`` positions on, over the pairs that exist.
+
+    Every value is written once for each lag and met by an equi-join on its position.
+    """
+    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(position).alias("_p"), F.col(value).cast("double").alias("_v"))
+    norm = base.groupBy(*keys).agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_d"))
+    z = base.join(norm, keys).where("_d > 0").select(*keys, "_p", ((F.col("_v") - F.col("_m")) / F.col("_d")).alias("_z"))
+    ahead = z.select(*keys, F.col("_z").alias("_y"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "_p").select(*keys, "_y", "lag", (F.col("_p") - F.col("lag")).alias("_p"))
+    return z.join(ahead, [*keys, "_p"]).groupBy(*keys, "lag").agg(F.avg(F.col("_z") * F.col("_y")).alias("r"), F.count("*").alias("n"))

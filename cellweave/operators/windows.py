@@ -41,3 +41,17 @@ def merge_max_abs(df: DataFrame, keys: list[str], score: str, ties: str = "keep"
 def block_mean(df: DataFrame, keys: list[str], block: int, value: str, x: str = "x", y: str = "y") -> DataFrame:
     """Down-sampling: the mean of ``value`` in blocks of ``block`` by ``block`` pixels."""
     return df.groupBy(*keys, F.floor(F.col(x) / block).cast("int").alias("bx"), F.floor(F.col(y) / block).cast("int").alias("by")).agg(F.avg(value).alias("value"), F.count("*").alias("n"))
+
+
+def owners(points: DataFrame, point_id: str, window: int, stride: int) -> DataFrame:
+    """(point_id, wx, wy): of the windows that hold a point the one whose middle is nearest; ties go to the lower start."""
+    far = (F.col("x") - F.col("wx") - window / 2) ** 2 + (F.col("y") - F.col("wy") - window / 2) ** 2
+    placed = assign(points.select(point_id, "x", "y"), window, stride)
+    return placed.groupBy(point_id).agg(F.min(F.struct(far.alias("d"), "wx", "wy")).alias("o")).select(point_id, "o.wx", "o.wy")
+
+
+def canvas(df: DataFrame, keys: list[str], x: str, y: str, side: int) -> DataFrame:
+    """Rows with (cx, cy): pixel of a ``side`` x ``side`` canvas on which the group's values are spread from edge to edge."""
+    ends = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))])
+    at = lambda c: F.coalesce(F.floor((F.col(c) - F.col(f"_lo{c}")) / F.nullif(F.col(f"_hi{c}") - F.col(f"_lo{c}"), F.lit(0)) * (side - 1)), F.lit(0)).cast("int")
+    return df.join(ends, keys).withColumn("cx", at(x)).withColumn("cy", at(y)).drop(*[f"_{n}{c}" for c in (x, y) for n in ("lo", "hi")])

@@ -281,7 +281,7 @@ def section_batches(spark, folder):
     return distinct.select("stack", "section", F.floor((F.row_number().over(Window.partitionBy("stack").orderBy("section")) - 1) / 32).cast("int").alias("batch"))
 
 
-@query("permuted_cells")
+@query("permuted_cells", "SELECT cell_id, stack FROM features")
 def permuted_cells(spark, folder):
     return sample.permute(table(spark, folder, "features").select("cell_id", "stack"), "cell_id", 3)
 
@@ -422,3 +422,67 @@ def boosted_trees(spark, folder):
     samples = vectors.join(wide.select(*keys, (F.col("w") > middle).cast("int").alias("label")), keys).where("label IS NOT NULL")
     return learn.score(learn.train(samples, rounds=10), samples).select(*keys, "label", F.round("margin", 6).alias("margin"))
 
+
+
+# ---------------------------------------------------------------- further maps and curves
+
+
+@query(
+    "window_owners",
+    f"""WITH f AS (SELECT cell_id, x, y FROM features WHERE {CELLS}), g AS (SELECT CAST(range * 56 AS INTEGER) AS w FROM range(0, 800)),
+        p AS (SELECT f.*, g.w AS wx FROM f JOIN g ON f.x > g.w AND f.x < g.w + 112), q AS (SELECT p.*, g.w AS wy FROM p JOIN g ON p.y > g.w AND p.y < g.w + 112)
+        SELECT cell_id, wx, wy FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY power(x - wx - 56, 2) + power(y - wy - 56, 2), wx, wy) AS i FROM q) WHERE i = 1""",
+)
+def window_owners(spark, folder):
+    return windows.owners(cells(spark, folder), "cell_id", 112, 56)
+
+
+@query(
+    "canvas_pixels",
+    f"""SELECT cell_id, CAST(coalesce(floor((x - lx) / CAST(nullif(hx - lx, 0) AS DOUBLE) * 99), 0) AS INTEGER) AS cx, CAST(coalesce(floor((y - ly) / CAST(nullif(hy - ly, 0) AS DOUBLE) * 99), 0) AS INTEGER) AS cy FROM
+        (SELECT cell_id, x, y, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy FROM features WHERE {CELLS} WINDOW w AS (PARTITION BY stack, section))""",
+)
+def canvas_pixels(spark, folder):
+    return windows.canvas(cells(spark, folder).select("cell_id", *PLANE, "x", "y"), PLANE, "x", "y", 100).select("cell_id", "cx", "cy")
+
+
+@query(
+    "section_autocorrelation",
+    """WITH c AS (SELECT stack, section, count(*) AS v FROM features WHERE section IS NOT NULL GROUP BY ALL), n AS (SELECT stack, avg(v) AS m, stddev_pop(v) AS d FROM c GROUP BY stack HAVING stddev_pop(v) > 0),
+       z AS (SELECT c.stack, section, (v - m) / d AS z FROM c JOIN n ON c.stack = n.stack)
+       SELECT a.stack, CAST(b.section - a.section AS INTEGER) AS lag, round(avg(a.z * b.z), 9) AS r, count(*) AS n FROM z a JOIN z b ON a.stack = b.stack AND b.section - a.section BETWEEN 0 AND 5 GROUP BY ALL""",
+)
+def section_autocorrelation(spark, folder):
+    counts = table(spark, folder, "features").where("section IS NOT NULL").groupBy(*PLANE).agg(F.count("*").alias("v"))
+    return stats.autocorrelation(counts, ["stack"], "section", "v", 5).select("stack", "lag", F.round("r", 9).alias("r"), "n")
+
+
+@query(
+    "interpolated_heights",
+    """WITH f AS (SELECT stack, padded_size, std AS v FROM features WHERE std IS NOT NULL AND NOT isnan(std)),
+       a AS (SELECT stack, v, (min(rn) - 1) / CAST(max(n) AS DOUBLE) AS y FROM (SELECT stack, v, row_number() OVER (PARTITION BY stack ORDER BY v) AS rn, count(*) OVER (PARTITION BY stack) AS n FROM f WHERE padded_size = 15) GROUP BY stack, v),
+       b AS (SELECT stack, v, (min(rn) - 1) / CAST(max(n) AS DOUBLE) AS y FROM (SELECT stack, v, row_number() OVER (PARTITION BY stack ORDER BY v) AS rn, count(*) OVER (PARTITION BY stack) AS n FROM f WHERE padded_size = 51) GROUP BY stack, v),
+       m AS (SELECT a.stack, a.v, a.y, max(CASE WHEN b.v <= a.v THEN b.v END) AS px, min(CASE WHEN b.v >= a.v THEN b.v END) AS qx FROM a JOIN b ON a.stack = b.stack GROUP BY a.stack, a.v, a.y)
+       SELECT m.stack, m.v, round((m.y + CASE WHEN px IS NULL THEN q.y WHEN qx IS NULL THEN p.y ELSE p.y + coalesce((m.v - px) / nullif(qx - px, 0), 0) * (q.y - p.y) END) / 2, 9) AS y
+       FROM m LEFT JOIN b p ON p.stack = m.stack AND p.v = px LEFT JOIN b q ON q.stack = m.stack AND q.v = qx""",
+)
+def interpolated_heights(spark, folder):
+    f = table(spark, folder, "features")
+    part = lambda s: ecdf.melt(f.where(F.col("padded_size") == s), ["stack"], ["std"])
+    return ecdf.interpolated_heights(part(15), part(51), ["stack"], most=1_000_000).select("stack", "v", F.round("y", 9).alias("y"))
+
+
+@query(
+    "event_props",
+    """SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""",
+)
+def event_props(spark, folder):
+    return table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("csv_scan", "SELECT stack, filename, CAST(idx AS INTEGER) AS idx FROM section_files WHERE idx >= 110")
+def csv_scan(spark, folder):
+    """The section map, written as CSV and read back with a given schema."""
+    path = fresh_path(spark, "csv")
+    table(spark, folder, "section_files").select("stack", "filename", "idx").write.option("header", True).option("emptyValue", "").csv(path)
+    return spark.read.schema("stack string, filename string, idx int").option("header", True).csv(path).where("idx >= 110")

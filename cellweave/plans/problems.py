@@ -10,7 +10,22 @@ from ..sources.cell_files import distinct_cells, parse_cell_files
 from .registry import query, table
 
 
-@query("p2_found")
+_FIELDS = ("section", "x", "y", "area", "height")
+P2_SQL = rf"""
+WITH f AS (SELECT file_id, regexp_extract(file_path, '(?:^|/)(?:stack=)?([A-Za-z][A-Za-z0-9]*[0-9])/(?:section=)?[0-9]+/', 1) AS stack,
+             string_split(replace(replace(file_text, chr(65279), ''), chr(13), ''), chr(10)) AS ls FROM cell_files WHERE file_text IS NOT NULL),
+l AS (SELECT file_id, stack, i, trim(ls[i]) AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM f) WHERE stack <> ''),
+s AS (SELECT *, CASE WHEN regexp_matches(lower(line), '^(section|x|y|area|height) *[,;|\t]') THEN regexp_replace(regexp_replace(lower(line), '[;|\t]', ',', 'g'), ' ', '', 'g') END AS h FROM l),
+t AS (SELECT *, string_split(coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY i), '{",".join(_FIELDS)}'), ',') AS o FROM s),
+v AS (SELECT stack, o, string_split(regexp_replace(regexp_replace(line, '[;|\t]', ',', 'g'), ' ', '', 'g'), ',') AS c FROM t WHERE regexp_matches(line, '^[0-9]')),
+r AS (SELECT stack, {", ".join(f"c[list_position(o, '{f}')] AS {f}" for f in _FIELDS)} FROM v WHERE len(c) = len(o)
+      UNION ALL SELECT stack, {", ".join(f"""regexp_extract(line, '"{f}": *([0-9.]+)[,}}]', 1)""" for f in _FIELDS)} FROM t WHERE line LIKE '{{%}}')
+SELECT DISTINCT stack, CAST(CAST(section AS DOUBLE) AS INTEGER) AS section, CAST(CAST(x AS DOUBLE) AS INTEGER) AS x, CAST(CAST(y AS DOUBLE) AS INTEGER) AS y FROM r
+WHERE {" AND ".join(f"regexp_matches({f}, '^[0-9]+([.]0*)?$')" for f in _FIELDS)}
+"""
+
+
+@query("p2_found", P2_SQL)
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The cells held by the compacted files, read back from them."""
     cells = distinct_cells(parse_cell_files(table(spark, folder, "cell_files")))

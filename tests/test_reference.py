@@ -215,3 +215,25 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     q.awaitTermination()
     assert sum(seen) == 100  # nothing is handed over twice
     assert sum(r.n for r in streams.windowed_counts(df, "1 hour").collect()) == 100
+
+
+def test_long_moving_average(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, i, float(v)) for k, n in (("a", 2500), ("b", 3), ("c", 900)) for i, v in enumerate(rng.normal(5, 2, n))]
+    got = {(r.k, r.i): r.ema for r in stats.moving_average(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], ["i"], "v").collect()}
+    for k in "abc":
+        own = [v for kk, _, v in rows if kk == k]
+        m = float(np.mean(own[:10]))
+        for i, v in enumerate(own):
+            m = 0.95 * m + 0.05 * v
+            assert abs(got[k, i] - m) < 1e-9
+
+
+def test_interpolation_and_owners(spark):
+    put = lambda v: spark.createDataFrame([(1, x) for x in v], "k int, v double")
+    got = {r.v: r.y for r in ecdf.interpolated_heights(put([0.0, 1.5, 9.0]), put([1.0, 2.0]), ["k"]).collect()}
+    assert got == {0.0: (0 + 0) / 2, 1.5: (1 / 3 + 0.25) / 2, 9.0: (2 / 3 + 0.5) / 2}
+    got = {r.i: (r.wx, r.wy) for r in windows.owners(spark.createDataFrame([(1, 11, 9), (2, 0, 5), (3, None, 1)], "i int, x int, y int"), "i", 10, 5).collect()}
+    assert got == {1: (5, 5)}
+    r = stats.autocorrelation(spark.createDataFrame([(1, i, float(i % 2)) for i in range(10)] + [(2, 1, 3.0)], "k int, p int, v double"), ["k"], "p", "v", 2).collect()
+    assert {(x.lag, round(x.r, 9), x.n) for x in r} == {(0, 1.0, 10), (1, -1.0, 9), (2, 1.0, 8)}
