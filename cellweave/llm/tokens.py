@@ -72,6 +72,10 @@ class Encoder:
             out += self.ids(m.group())
         return out
 
+    def text(self, ids: list[int]) -> str:
+        """The text that these ids stand for: byte-level ids lose nothing."""
+        return self._bpe.decode_bytes(ids).decode()
+
     def chunk(self, text: str) -> tuple[list[int], int, int]:
         """(ids, where the last two pieces begin, how many ids they have): what follows the chunk can change no earlier piece."""
         out: list[int] = []
@@ -81,8 +85,8 @@ class Encoder:
             out += self.ids(m.group())
         return out, begin[0], len(out) - count[0]
 
-    def join(self, parts: list[tuple[str, list[int], int, int]]) -> list[int]:
-        """Ids of the concatenated chunks.
+    def join(self, parts: list[tuple[list[int], int, int]]) -> list[int]:
+        """Ids of the concatenated chunks, each given as ``chunk`` has it; their texts come back from their ids.
 
         At every join the text from the last sure piece on is split again, next to the splitting of the new chunk alone,
         until both have a boundary at the same place; from there on they agree for good, because a match of the pattern
@@ -90,7 +94,10 @@ class Encoder:
         """
         out: list[int] = []
         pending = ""
-        for text, ids, tail, tail_ids in parts:
+        if len(parts) == 1:
+            return parts[0][0]
+        for ids, tail, tail_ids in parts:
+            text = self.text(ids)
             joint, shift = pending + text, len(pending)
             together, alone = self.pieces.finditer(joint), self.pieces.finditer(text)
             a, b, done, skipped, agreed = 0, shift, [], 0, False
@@ -123,7 +130,7 @@ def encode_corpus(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
     """(doc_id, ids): the ids of every text, special tokens' strings being ordinary text; one row per input row.
 
     Texts are cut into content-defined chunks, each distinct chunk is encoded once, and the chunk joins of every text are
-    repaired until exact. Chunks are compared by a 128-bit digest. Null and empty texts give an empty list; repeated rows
+    repaired until exact. Chunks are compared by a 128-bit digest, and only ids travel on: a chunk's text follows from them. Null and empty texts give an empty list; repeated rows
     and null or repeated doc_ids keep their rows; an empty table gives none. The vocabulary is read by the driver and sent
     along (under 1 MB for byte_bpe_50k).
     """
@@ -134,13 +141,15 @@ def encode_corpus(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, pos, key, chunk = [], [], [], []
-            for r, t in zip(batch.column("row").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            line, pos, key, chunk = [], [], [], []
+            for i, t in enumerate(batch.column("t").to_pylist()):
                 at = 0
                 for p, e in enumerate(chunk_ends(t, mean) or [0]):
-                    row.append(r), pos.append(p), chunk.append(t[at:e]), key.append(hashlib.blake2b(t[at:e].encode(), digest_size=16).digest())
+                    line.append(i), pos.append(p), chunk.append(t[at:e]), key.append(hashlib.blake2b(t[at:e].encode(), digest_size=16).digest())
                     at = e
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(pos, pa.int32()), pa.array(key, pa.binary()), pa.array(chunk, pa.string())], names=["row", "pos", "key", "chunk"])
+            take = pa.array(line, pa.int32())
+            own = [batch.column(c).take(take) for c in ("row", "d")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(pos, pa.int32()), pa.array(key, pa.binary()), pa.array(chunk, pa.string())], names=["row", "d", "pos", "key", "chunk"])
 
     def encoder() -> Encoder:
         held = ranks.value  # kept by the worker, and the encoder with it
@@ -153,8 +162,8 @@ def encode_corpus(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
         for batch in batches:
             done = [e.chunk(t) for t in batch.column("chunk").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("chunk"), pa.array([d[0] for d in done], pa.list_(pa.int32())), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())],
-                names=["key", "chunk", "ids", "tail", "tail_ids"],
+                [batch.column("key"), pa.array([d[0] for d in done], pa.list_(pa.int32())), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())],
+                names=["key", "ids", "tail", "tail_ids"],
             )
 
     def repair(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -163,14 +172,13 @@ def encode_corpus(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
             some = starts[at : at + 2_000]
             end = starts[at + 2_000] if at + 2_000 < len(starts) else table.num_rows
             part = table.slice(some[0], end - some[0])
-            rows, chunks, ids, tail, tail_ids = (part.column(c).to_pylist() for c in ("row", "chunk", "ids", "tail", "tail_ids"))
+            ids, tail, tail_ids = (part.column(c).to_pylist() for c in ("ids", "tail", "tail_ids"))
             cuts = [*(some - some[0]).tolist(), part.num_rows]
-            out = [e.join(list(zip(chunks[i:j], ids[i:j], tail[i:j], tail_ids[i:j], strict=True))) for i, j in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array([rows[i] for i in cuts[:-1]], pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["row", "ids"])
-
-    numbered = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("t")), "numbered")
-    chunks = stage(numbered.select("row", "t").mapInArrow(cut, "row long, pos int, key binary, chunk string"), "chunks")
-    encoded = chunks.select("key", "chunk").dropDuplicates(["key"]).mapInArrow(encode, "key binary, chunk string, ids array<int>, tail int, tail_ids int")
-    placed = chunks.select("row", "pos", "key").join(encoded, "key").select("row", "pos", "chunk", "ids", "tail", "tail_ids")
-    whole = map_sorted_runs(placed, ["row"], ["pos"], repair, "row long, ids array<int>", rows=4_000)
-    return numbered.select("row", "_d").join(whole, "row").select(F.col("_d").cast(id_type).alias(doc_id), "ids")
+            out = [e.join(list(zip(ids[i:j], tail[i:j], tail_ids[i:j], strict=True))) for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column("d").combine_chunks().take(pa.array(cuts[:-1])), pa.array(out, pa.list_(pa.int32()))], names=["d", "ids"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    chunks = stage(numbered.mapInArrow(cut, f"row long, d {id_type}, pos int, key binary, chunk string"), "chunks")
+    encoded = chunks.select("key", "chunk").dropDuplicates(["key"]).mapInArrow(encode, "key binary, ids array<int>, tail int, tail_ids int")
+    placed = chunks.select("row", "d", "pos", "key").join(encoded, "key").select("row", "d", "pos", "ids", "tail", "tail_ids")
+    return map_sorted_runs(placed, ["row"], ["pos"], repair, f"d {id_type}, ids array<int>", rows=4_000).withColumnRenamed("d", doc_id)
