@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -64,29 +65,39 @@ def passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     of them. A passage is trusted if it holds an unquoted mark, a stack trace or Latin filler, or stands in a short record
     that an error code, a notice or known filler gives away. Numbers alone are a passage only in such a record.
     """
-    t = F.regexp_replace(F.col(text), "[" + _FLAG + "]", "")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#(?:39|x27);", "'"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-        t = F.regexp_replace(t, entity, plain)
-    raw, t = t, F.col("raw")
-    t = F.regexp_replace(t, "`[^`\n]{1,80}`", f" {_FLAG}code ")
-    t = F.regexp_replace(t, _MARKUP, " ")
-    t = F.regexp_replace(t, r"(?i)</?noscript[^<>]*>", "\n")
-    t = F.regexp_replace(t, rf"{_OPEN}(?:{UNFILLED}|{_NUMBERED}|{UNRESOLVED}|\[{_NAME}\]){_CLOSE}(?!_missing)", f" {_FLAG}quoted ")
-    t = F.regexp_replace(t, UNFILLED, f" {_FLAG}unfilled ")
-    t = F.regexp_replace(t, UNRESOLVED, f" {_FLAG}unresolved ")
-    t = F.regexp_replace(t, _NUMBERED, f" {_FLAG}unfilled ")
+    raw = F.translate(F.col(text), _FLAG, "")
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        raw = F.replace(raw, F.lit(entity), F.lit(plain))
+    raw = F.when(F.contains(F.col(text), F.lit("&")), raw).otherwise(F.translate(F.col(text), _FLAG, ""))
+
+    def swap(c: Column, hint: Column, pattern: str, by: str) -> Column:
+        """Replace a pattern where a cheap test says that it may occur at all."""
+        return F.when(hint, F.regexp_replace(c, pattern, by)).otherwise(c)
+
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(F.col("raw"), F.lit(w)) for w in words])
+    marks = F.col("raw").rlike(r"[{<\[%@~|#$«‹]|__|\([A-Za-z]{3,4}:")
+    quoted = rf"{_OPEN}(?:{UNFILLED}|{_NUMBERED}|{UNRESOLVED}|\[{_NAME}\]){_CLOSE}(?!_missing)"
+    t = swap(F.col("raw"), has("`"), "`[^`\n]{1,80}`", f" {_FLAG}code ")
+    t = swap(t, has("<"), _MARKUP, " ")
+    t = swap(t, has("<"), r"(?i)</?noscript[^<>]*>", "\n")
+    t = swap(t, marks | has("undefined"), quoted, f" {_FLAG}quoted ")
+    t = swap(t, marks, UNFILLED, f" {_FLAG}unfilled ")
+    t = swap(t, has("#", "[object", "NaN", "null", "undefined"), UNRESOLVED, f" {_FLAG}unresolved ")
+    t = swap(t, has("{"), _NUMBERED, f" {_FLAG}unfilled ")
     short = F.size(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))) <= 40
     gives_away = F.col("raw").rlike(TRUSTED_ERROR) | F.col("raw").rlike(TRUSTED_RECORD)
     cut = F.split("t", r"\n+|\s\|\s|(?<=[.!?…])\s+|(?<=[。！？؟।])\s*")
-    tokens = F.regexp_extract_all(F.regexp_replace(F.lower("p"), r"\d+", "0"), F.lit(rf"([{_FLAG}\p{{L}}\p{{M}}\p{{N}}]+)"), F.lit(1))
+    low = F.lower("p")
+    tokens = F.regexp_extract_all(F.when(F.col("p").rlike(r"\d"), F.regexp_replace(low, r"\d+", "0")).otherwise(low), F.lit(rf"([{_FLAG}\p{{L}}\p{{M}}\p{{N}}]+)"), F.lit(1))
     latin = F.array(*[F.lit(w) for w in LATIN.split()])
     once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))  # noqa: E731  # a generator is not copied into every use of its column
     base = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("d"), once(raw, "raw")).select("d", "raw", once(t, "t"))
     cuts = base.select("d", "t", once(gives_away & short, "told")).select("d", "told", F.explode(cut).alias("p")).where(F.col("p").rlike(r"\p{L}|" + _FLAG) | (F.col("told") & F.col("p").rlike(r"\p{N}")))
     words = cuts.select("d", "told", "p", tokens.alias("tokens"))
     filler = (F.size("tokens") >= 4) & (2 * F.size(F.filter("tokens", lambda w: F.array_contains(latin, w))) >= F.size("tokens"))
+    traced = reduce(lambda a, b: a | b, [F.array_contains("tokens", w) for w in ("traceback", "java", "sqlstate", "uncaught", "undefined")]) | F.contains(low, F.lit("exception"))
     marked = F.exists("tokens", lambda w: w.isin(f"{_FLAG}unfilled", f"{_FLAG}unresolved"))
-    return words.select("d", "tokens", (F.col("told") | marked | filler | F.col("p").rlike(rf"^\s*{_PREFIX}\d{{3,5}}\b") | F.col("p").rlike(TRUSTED_TRACE) | F.col("p").rlike(TRUSTED_START)).alias("trusted"))
+    return words.select("d", "tokens", (F.col("told") | marked | filler | F.col("p").rlike(rf"^\s*{_PREFIX}\d{{3,5}}\b") | (traced & F.col("p").rlike(TRUSTED_TRACE)) | F.col("p").rlike(TRUSTED_START)).alias("trusted"))
 
 
 def features(tokens: Column) -> list[Column]:
