@@ -55,6 +55,9 @@ TRUSTED_START = "(?i)" + "|".join(
 # The words of the usual Latin filler.
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 
+# Parts of which every beginning above has one.
+START_HINTS = "script skript js blocker bla text test asdf xx edit placeholder paragraph caption title κείμενό текст ここに文章 サーバーで問題 ページが見つかりません".split()
+
 _FLAG = ""
 
 
@@ -65,10 +68,11 @@ def passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     of them. A passage is trusted if it holds an unquoted mark, a stack trace or Latin filler, or stands in a short record
     that an error code, a notice or known filler gives away. Numbers alone are a passage only in such a record.
     """
-    raw = F.translate(F.col(text), _FLAG, "")
+    clean = F.when(F.contains(F.col(text), F.lit(_FLAG)), F.translate(F.col(text), _FLAG, "")).otherwise(F.col(text))
+    raw = clean
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         raw = F.replace(raw, F.lit(entity), F.lit(plain))
-    raw = F.when(F.contains(F.col(text), F.lit("&")), raw).otherwise(F.translate(F.col(text), _FLAG, ""))
+    raw = F.when(F.contains(F.col(text), F.lit("&")), raw).otherwise(clean)
 
     def swap(c: Column, hint: Column, pattern: str, by: str) -> Column:
         """Replace a pattern where a cheap test says that it may occur at all."""
@@ -96,8 +100,9 @@ def passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     words = cuts.select("d", "told", "p", tokens.alias("tokens"))
     filler = (F.size("tokens") >= 4) & (2 * F.size(F.filter("tokens", lambda w: F.array_contains(latin, w))) >= F.size("tokens"))
     traced = reduce(lambda a, b: a | b, [F.array_contains("tokens", w) for w in ("traceback", "java", "sqlstate", "uncaught", "undefined")]) | F.contains(low, F.lit("exception"))
+    hinted = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in START_HINTS])
     marked = F.exists("tokens", lambda w: w.isin(f"{_FLAG}unfilled", f"{_FLAG}unresolved"))
-    return words.select("d", "tokens", (F.col("told") | marked | filler | F.col("p").rlike(rf"^\s*{_PREFIX}\d{{3,5}}\b") | (traced & F.col("p").rlike(TRUSTED_TRACE)) | F.col("p").rlike(TRUSTED_START)).alias("trusted"))
+    return words.select("d", "tokens", (F.col("told") | marked | filler | F.col("p").rlike(rf"^\s*{_PREFIX}\d{{3,5}}\b") | (traced & F.col("p").rlike(TRUSTED_TRACE)) | (hinted & F.col("p").rlike(TRUSTED_START))).alias("trusted"))
 
 
 def features(tokens: Column) -> list[Column]:
