@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ecdf, geometry, grow, patch, select, stats, windows
-from ..schema import PARAMETERS
+from ..schema import FEATURES, PARAMETERS
 
 from .registry import query, table
 
@@ -279,14 +279,21 @@ def window_ks(spark, folder):
     return tests.select(*PLANE, "wx", "wy", F.round("d", 9).alias("d"))
 
 
+MAPS = ((448, 224), (224, 112))  # Fixed values: window and stride of the reference's two maps
+
+
 @query("significance_map")
 def significance_map(spark, folder):
-    return grow.significance(cells(spark, folder), PLANE, ["area", "height", "std", "dmvec1", "dmvec2"], 896, 448)
+    """Both maps over all features, told apart by ``window``."""
+    coarse, fine = [grow.significance(cells(spark, folder), PLANE, FEATURES, w, stride).withColumn("window", F.lit(w)) for w, stride in MAPS]
+    return coarse.unionByName(fine)
 
 
 @query("region_growing")
 def region_growing(spark, folder):
-    return grow.grow(significance_map(spark, folder), PLANE, 448)
+    """Regions of both maps, each grown at its own stride."""
+    coarse, fine = [grow.grow(grow.significance(cells(spark, folder), PLANE, FEATURES, w, stride), PLANE, stride).withColumn("window", F.lit(w)) for w, stride in MAPS]
+    return coarse.unionByName(fine)
 
 
 # ---------------------------------------------------------------- regions
