@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +47,12 @@ def ks_within(inner: DataFrame, outer: DataFrame, plane: list[str], sub: list[st
     return both.groupBy(*plane, *sub, "feature").agg(F.max(F.greatest(before, after)).alias("d"), F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
-def grow(scores: DataFrame, plane: list[str], stride: int, share: float = 0.5, most: int = 30) -> DataFrame:
+def grow(scores: DataFrame, plane: list[str], stride: int, share: float = 0.5) -> DataFrame:
     """(plane, wx, wy, region): regions of neighbouring windows that score at least ``share`` of their seed's score.
 
     In every plane, seeds are the windows of highest score among their eight neighbours; all regions of all planes grow
-    together, one ring of neighbours a round, and a window goes to the seed of highest score that reaches it. ``most``
-    bounds the rounds.
+    together, one ring of neighbours a round until no window is left to take, and a window goes to the seed of highest score
+    that reaches it first. What is taken is staged every few rounds, so the plan stays short.
     """
     s = stage(scores.select(*plane, "wx", "wy", "score"), "scores")
     steps = F.explode(F.array(*[F.struct(F.lit(i * stride).alias("i"), F.lit(j * stride).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]))
@@ -60,13 +62,15 @@ def grow(scores: DataFrame, plane: list[str], stride: int, share: float = 0.5, m
     seeds = s.join(top, [*plane, "wx", "wy"], "left").where((F.col("score") > 0) & (F.col("best").isNull() | (me > F.col("best"))))
     taken = stage(seeds.select(*plane, "wx", "wy", F.struct("score", "wx", "wy").alias("seed")), "regions")
     edge = taken
-    for _ in range(most):
+    for turn in count(1):
         reach = edge.select(*plane, "wx", "wy", "seed", steps.alias("d")).select(*plane, (F.col("wx") + F.col("d.i")).alias("wx"), (F.col("wy") + F.col("d.j")).alias("wy"), "seed")
         claims = reach.join(s, [*plane, "wx", "wy"]).where(F.col("score") >= share * F.col("seed.score")).groupBy(*plane, "wx", "wy").agg(F.max("seed").alias("seed"))
         edge = stage(claims.join(taken, [*plane, "wx", "wy"], "left_anti").select(*plane, "wx", "wy", "seed"), "edge")
         if edge.isEmpty():
             break
         taken = taken.unionByName(edge)
+        if turn % 8 == 0:
+            taken = stage(taken, "regions")
     return taken.select(*plane, "wx", "wy", F.concat_ws("_", F.col("seed.wx"), F.col("seed.wy")).alias("region"))
 
 

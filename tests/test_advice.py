@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 
+from cellweave.operators import grow
 from cellweave.plans.registry import QUERIES
 from cellweave.schema import FEATURES
 
@@ -35,3 +36,9 @@ def test_significance_sees_every_feature_at_both_window_sizes(spark, tmp_path):
     starts = {(w, a, b) for w in (448, 224) for a in range(0, 1340, w // 2) for b in range(0, 1340, w // 2)}
     assert set(got) == {(w, a, b) for w, a, b in starts if ((table[:, 0] > a) & (table[:, 0] < a + w) & (table[:, 1] > b) & (table[:, 1] < b + w)).any()}
     assert max((k for k in got if k[0] == 224), key=lambda k: got[k].score) == (224, 672, 672)
+
+
+def test_regions_grow_to_their_end(spark):
+    rows = [(1, i * 10, 0, 9.0 - 0.1 * i) for i in range(45)] + [(1, 450, 0, 1.0)]  # one seed, 44 rings
+    got = grow.grow(spark.createDataFrame(rows, "p int, wx int, wy int, score double"), ["p"], 10).collect()
+    assert sorted((r.wx, r.region) for r in got) == [(i * 10, "0_0") for i in range(45)]
