@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +88,93 @@ def shift_counts(points: DataFrame, regions: DataFrame, by: list[str], offsets:
     shifts = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in offsets])
     hit = F.filter(shifts, lambda s: inside(e, F.col("x") - s.dx, F.col("y") - s.dy))
     return pairs.select(*keys, (F.lit(0.0) if value is None else value).alias("_v"), F.explode(hit).alias("s")).groupBy(*keys, "s.dx", "s.dy").agg(F.count("*").alias("n"), F.sum("_v").alias("total"))
+
+
+def lattice_hits(x, y, vertices, nx: int, ny: int, step: int, margin: float):
+    """Two boolean arrays (points, 2 ny + 1, 2 nx + 1): which points a polygon holds, and has in its ring, at each shift.
+
+    On the row of one shift in y, the polygon's crossings and the interval that each edge's capsule covers decide all shifts in x
+    at once, so no shift is tested by itself.
+    """
+    import numpy as np
+
+    a, b = vertices, np.roll(vertices, -1, axis=0)
+    wide = 2 * nx + 1
+    py = (y[:, None] - step * np.arange(-ny, ny + 1)[None]).ravel()[:, None]  # a row for each point and shift in y
+    px = np.repeat(x, 2 * ny + 1)[:, None]
+    row = np.broadcast_to(np.arange(len(py))[:, None], (len(py), len(a)))
+
+    def summed(at, where, sign):
+        """Running sum along each row of ``sign`` from position ``at`` on."""
+        return np.cumsum(np.bincount(row[where] * (wide + 1) + np.clip(at[where] + nx, 0, wide).astype(np.int64), sign[where], len(py) * (wide + 1)).reshape(len(py), wide + 1), axis=1)[:, :wide]
+
+    def crossing(p, q):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (q[:, 0] - p[:, 0]) * (py - p[:, 1]) / (q[:, 1] - p[:, 1]) + p[:, 0]
+
+    one = np.ones(row.shape)
+    crosses = (a[:, 1] > py) != (b[:, 1] > py)
+    within = summed(np.floor((px - np.where(crosses, crossing(a, b), 0.0)) / step) + 1, crosses, one) % 2 == 1
+    low, high = np.full(row.shape, np.inf), np.full(row.shape, -np.inf)
+
+    def reach(where, left, right):
+        np.minimum(low, np.where(where, left, np.inf), out=low)
+        np.maximum(high, np.where(where, right, -np.inf), out=high)
+
+    for c in (a, b):
+        span = np.sqrt(np.maximum(0.0, margin * margin - (py - c[:, 1]) ** 2))
+        reach(np.abs(py - c[:, 1]) <= margin, c[:, 0] - span, c[:, 0] + span)
+    along = b - a
+    length = np.hypot(along[:, 0], along[:, 1])[:, None]
+    off = np.where(length > 0, np.stack([-along[:, 1], along[:, 0]], axis=1) / np.where(length > 0, length, 1.0) * margin, 0.0)
+    corners = [a + off, b + off, b - off, a - off]
+    for p, q in zip(corners, corners[1:] + corners[:1], strict=True):
+        cut = (p[:, 1] > py) != (q[:, 1] > py)
+        at = np.where(cut, crossing(p, q), 0.0)
+        reach(cut, at, at)
+    some = low <= high
+    first, last = np.ceil((px - np.where(some, high, 0.0)) / step), np.floor((px - np.where(some, low, 0.0)) / step)
+    near = summed(first, some & (first <= last), one) - summed(last + 1, some & (first <= last), one) > 0
+    shape = (len(x), 2 * ny + 1, wide)
+    return within.reshape(shape), (near & ~within).reshape(shape)
+
+
+def shift_search(points: DataFrame, regions: DataFrame, stack: str, section: str, name: str, half: tuple[int, int, int], step: int, margin: float, value: Column | None = None) -> DataFrame:
+    """(stack, name, dx, dy, dz, positive, negative, positive_total, negative_total): points, and their sums of ``value``, inside each region and in its ring at every shift.
+
+    Shifts are -half..half steps in x and y and whole sections in z. Shifts that meet no point have no row. Regions go to the sections
+    that exist by an equi-join on section + dz; each batch of pairs is counted before the shuffle.
+    """
+    nx, ny, nz = half
+    plane = [stack, section]
+    shifted = regions.where(F.size("vertices") >= 3).withColumn("dz", F.explode(F.sequence(F.lit(-nz), F.lit(nz)))).withColumn(section, F.col(section) + F.col("dz"))
+    placed = shifted.join(points.select(*plane).distinct(), plane).select(*plane, name, "vertices", "dz")
+    located = points.select(*plane, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.lit(0.0) if value is None else value.cast("double")).alias("_v"))
+    pairs = in_cells(located, placed, plane, margin + step * max(nx, ny), 2048).select(stack, name, "dz", "x", "y", "_v", "vertices")
+
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            frame = batch.select([stack, name, "dz", "x", "y", "_v"]).to_pandas()
+            for (s, n, z), at in frame.groupby([stack, name, "dz"], dropna=False, sort=False).indices.items():
+                corners = np.array([[v["x"], v["y"]] for v in batch.column("vertices")[int(at[0])].as_py()], dtype=float)
+                sums = np.zeros((4, 2 * ny + 1, 2 * nx + 1))
+                for i in range(0, len(at), 256):  # bounds the arrays
+                    part = frame.iloc[at[i : i + 256]]
+                    hits = lattice_hits(part["x"].to_numpy(), part["y"].to_numpy(), corners, nx, ny, step, margin)
+                    for k, hit in enumerate(hits):
+                        sums[k] += hit.sum(0)
+                        sums[k + 2] += np.tensordot(part["_v"].to_numpy(), hit, 1)
+                j, i = np.nonzero(sums[0] + sums[1])
+                if len(i):
+                    ints = [pa.array((c * step).astype("int32")) for c in (i - nx, j - ny)]
+                    counts = [pa.array(sums[k][j, i].astype("int64")) for k in (0, 1)]
+                    fixed = [pa.array([v] * len(i), batch.schema.field(c).type) for c, v in ((stack, s), (name, n))]
+                    yield pa.RecordBatch.from_arrays([*fixed, *ints, pa.array(np.full(len(i), z, "int32")), *counts, *[pa.array(sums[k][j, i]) for k in (2, 3)]], names)
+
+    names = [stack, name, "dx", "dy", "dz", "positive", "negative", "positive_total", "negative_total"]
+    kinds = dict(regions.dtypes)
+    counted = pairs.mapInArrow(count, f"{stack} {kinds[stack]}, {name} {kinds[name]}, dx int, dy int, dz int, positive long, negative long, positive_total double, negative_total double")
+    return counted.groupBy(*names[:5]).agg(*[F.sum(c).alias(c) for c in names[5:]])

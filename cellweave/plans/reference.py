@@ -327,21 +327,48 @@ def polygon_rings(spark, folder):
 STEP = PARAMETERS.shift_step
 
 
+HALF = PARAMETERS.shift_half_range
+
+
+def shift_search(spark, folder, half):
+    points = cells(spark, folder).select(*PLANE, "x", "y", "area")
+    outlines = contours(spark, folder).select("annotation_id", *PLANE, "vertices")
+    return geometry.shift_search(points, outlines, *PLANE, "annotation_id", half, STEP, PARAMETERS.shift_margin, F.coalesce("area", F.lit(0)))
+
+
+@query("shift_counts")
+def shift_counts(spark, folder):
+    """Cells inside every contour and in its ring at all 41 x 41 x 41 shifts."""
+    return shift_search(spark, folder, (HALF, HALF, HALF)).drop("stack")
+
+
+@query("shift_peaks")
+def shift_peaks(spark, folder):
+    """Peak and half width of every brain's curve of inside minus ring, along x, y and sections."""
+    curves = None
+    for i, axis in enumerate(("dx", "dy", "dz")):
+        moved = shift_search(spark, folder, tuple(HALF if i == k else 0 for k in range(3)))
+        curve = moved.groupBy("stack", F.col(axis).alias("shift")).agg(F.sum(F.col("positive") - F.col("negative")).alias("n")).withColumn("axis", F.lit(axis))
+        curves = curve if curves is None else curves.unionByName(curve)
+    return stats.half_width(curves, ["stack", "axis"], "shift", "n")
+
+
+# the grid small enough for SQL: 3 x 3 shifts, and 7 in x
 @query(
-    "shift_counts",
+    "shift_counts_fixture",
     f"""WITH {EDGES}, o AS (SELECT a.range * {STEP} AS dx, b.range * {STEP} AS dy FROM range(-1, 2) a, range(-1, 2) b), f AS (SELECT cell_id, stack, section, x, y, area FROM features WHERE {CELLS}),
         h AS (SELECT e.annotation_id, cell_id, dx, dy, any_value(area) AS area FROM f JOIN e ON f.stack = e.stack AND f.section = e.section CROSS JOIN o
               WHERE (ay > y - dy) <> (by_ > y - dy) AND x - dx < (bx - ax) * (y - dy - ay) / nullif(by_ - ay, 0) + ax GROUP BY e.annotation_id, cell_id, dx, dy HAVING count(*) % 2 = 1)
         SELECT annotation_id, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, count(*) AS n, CAST(sum(coalesce(area, 0)) AS DOUBLE) AS total FROM h GROUP BY annotation_id, dx, dy""",
 )
-def shift_counts(spark, folder):
+def shift_counts_fixture(spark, folder):
     points = cells(spark, folder).select("cell_id", *PLANE, "x", "y", "area")
     offsets = [(i * STEP, j * STEP) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     return geometry.shift_counts(points, contours(spark, folder).select("annotation_id", *PLANE, "vertices"), PLANE, offsets, ["annotation_id"], F.coalesce("area", F.lit(0)).cast("double"))
 
 
 @query(
-    "shift_peaks",
+    "shift_peaks_fixture",
     f"""WITH {EDGES}, o AS (SELECT range * {STEP} AS dx FROM range(-3, 4)), f AS (SELECT cell_id, stack, section, x, y FROM features WHERE {CELLS}),
         h AS (SELECT e.annotation_id, f.stack, cell_id, dx FROM f JOIN e ON f.stack = e.stack AND f.section = e.section CROSS JOIN o
               WHERE (ay > y) <> (by_ > y) AND x - dx < (bx - ax) * (y - ay) / nullif(by_ - ay, 0) + ax GROUP BY e.annotation_id, f.stack, cell_id, dx HAVING count(*) % 2 = 1),
@@ -351,7 +378,7 @@ def shift_counts(spark, folder):
         l AS (SELECT stack, dx FROM (SELECT k.stack, dx, row_number() OVER (PARTITION BY k.stack ORDER BY abs(n - top / 2.0), -dx) AS i FROM k JOIN t USING (stack) WHERE dx <= peak) WHERE i = 1)
         SELECT t.stack, peak, r.dx - l.dx AS width FROM t JOIN r USING (stack) JOIN l USING (stack)""",
 )
-def shift_peaks(spark, folder):
+def shift_peaks_fixture(spark, folder):
     points = cells(spark, folder).select("cell_id", *PLANE, "x", "y")
     counts = geometry.shift_counts(points, contours(spark, folder).select("annotation_id", *PLANE, "vertices"), PLANE, [(i * STEP, 0) for i in range(-3, 4)], ["stack"])
     return stats.half_width(counts.select("stack", "dx", "n"), ["stack"], "dx", "n")

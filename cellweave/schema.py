@@ -23,6 +23,7 @@ class Parameters:
     microns_per_pixel: float = 0.46
     shift_step: int = 43
     shift_half_range: int = 20
+    shift_margin: float = 200 / 0.46
 
 
 PARAMETERS = Parameters()

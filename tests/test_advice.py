@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from cellweave.operators import grow
+from cellweave.operators import geometry, grow
 from cellweave.plans.registry import QUERIES
 from cellweave.schema import FEATURES
 
@@ -42,3 +43,31 @@ def test_regions_grow_to_their_end(spark):
     rows = [(1, i * 10, 0, 9.0 - 0.1 * i) for i in range(45)] + [(1, 450, 0, 1.0)]  # one seed, 44 rings
     got = grow.grow(spark.createDataFrame(rows, "p int, wx int, wy int, score double"), ["p"], 10).collect()
     assert sorted((r.wx, r.region) for r in got) == [(i * 10, "0_0") for i in range(45)]
+
+
+def test_shift_search_covers_the_range_sections_and_ring(spark):
+    rng = np.random.default_rng(9)
+    ell = [(400.0, 400.0), (520.0, 400.0), (520.0, 460.0), (460.5, 460.0), (470.0, 530.0), (400.0, 520.0)]
+    points = [("a", s, int(x), int(y), float(v)) for s in (3, 5, 9) for x, y, v in rng.integers(0, 1000, (60, 3))] + [("b", 3, 450, 450, 1.0)]
+    regions = spark.createDataFrame([("a", 4, "r", ell)], "stack string, section int, name string, vertices array<struct<x:double,y:double>>")
+    cells = spark.createDataFrame(points, "stack string, section int, x int, y int, area double")
+    found = geometry.shift_search(cells, regions, "stack", "section", "name", (6, 5, 2), 43, 90.0, F.col("area")).collect()
+    got = {(r.dx, r.dy, r.dz): (r.positive, r.negative, r.positive_total, r.negative_total) for r in found}
+
+    def state(x, y):
+        odd, least = False, math.inf
+        for (ax, ay), (bx, by) in zip(ell, ell[1:] + ell[:1], strict=True):
+            odd ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+            t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            least = min(least, math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+        return 0 if odd else 1 if least <= 90 else None
+
+    want = {}
+    for dx in range(-6, 7):
+        for dy in range(-5, 6):
+            for s, x, y, v in [p[1:] for p in points if p[0] == "a" and abs(p[1] - 4) <= 2]:
+                if (k := state(x - dx * 43, y - dy * 43)) is not None:
+                    w = want.setdefault((dx * 43, dy * 43, s - 4), [0, 0, 0.0, 0.0])
+                    w[k] += 1
+                    w[k + 2] += v
+    assert got == {k: tuple(w) for k, w in want.items()} and {k[2] for k in got} == {-1, 1}
