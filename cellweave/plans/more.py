@@ -253,12 +253,18 @@ def per_group_sample(spark, folder):
     return sample.per_group(table(spark, folder, "features").where("section IS NOT NULL"), PLANE, "cell_id", 10).select("cell_id", *PLANE)
 
 
+@query("stratified_files")
+def stratified_files(spark, folder):
+    """The reference's 20 files of 100 000 rows."""
+    return sample.stratified_files(table(spark, folder, "features").select("cell_id", "stack"), "stack", "cell_id", 20, 100_000).select("cell_id", "stack", "file")
+
+
 @query(
-    "stratified_files",
+    "stratified_files_fixture",
     f"""WITH r AS (SELECT cell_id, stack, row_number() OVER (PARTITION BY stack ORDER BY {_H}, cell_id) - 1 AS i, count(*) OVER (PARTITION BY stack) AS c, count(*) OVER () AS n FROM features),
         s AS (SELECT *, CAST(floor(c / CAST(n AS DOUBLE) * 1000) AS BIGINT) AS k FROM r) SELECT cell_id, stack, CAST(i // k AS INTEGER) AS file FROM s WHERE k > 0 AND i // k < 5""",
 )
-def stratified_files(spark, folder):
+def stratified_files_fixture(spark, folder):
     return sample.stratified_files(table(spark, folder, "features").select("cell_id", "stack"), "stack", "cell_id", 5, 1000).select("cell_id", "stack", "file")
 
 

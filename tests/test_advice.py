@@ -71,3 +71,15 @@ def test_shift_search_covers_the_range_sections_and_ring(spark):
                     w[k] += 1
                     w[k + 2] += v
     assert got == {k: tuple(w) for k, w in want.items()} and {k[2] for k in got} == {-1, 1}
+
+
+def test_small_brains_get_their_share_of_the_files(spark, tmp_path):
+    rows = [(i, "small" if i < 2 else "large") for i in range(3000)]  # less than 0.1 % of all rows
+    spark.createDataFrame(rows, "cell_id long, stack string").write.parquet(f"{tmp_path}/features.parquet")
+    got = {(r.cell_id, r.stack, r.file) for r in QUERIES["stratified_files"](spark, str(tmp_path)).collect()}
+    want = set()
+    for stack in ("small", "large"):
+        own = sorted((i for i, s in rows if s == stack), key=lambda i: ((i * 48271 + 12345) % 2147483647, i))
+        share = math.floor(len(own) / 3000 * 100_000)
+        want |= {(i, stack, k // share) for k, i in enumerate(own) if share and k // share < 20}
+    assert got == want and {s for _, s, _ in got} == {"small", "large"}
