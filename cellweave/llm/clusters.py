@@ -209,7 +209,7 @@ def power_iterate(nodes: DataFrame, links: DataFrame, rounds: int = 3) -> DataFr
     """(id, n, degree, e0, e1): two random vectors after ``rounds`` products with the row-normalised affinities.
 
     ``nodes`` (id, n) stand for n equal records each, similar to themselves. Members of a set that is similar to itself and
-    nothing else get equal values: the first sum is exact in integers, and a mean of equal numbers keeps them.
+    nothing else get equal values: sums are exact in integers, and each round's means are cut to integers.
     """
     start = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)).cast("long")
     degrees = links.groupBy("a").agg(F.sum("w").alias("s"))
@@ -217,7 +217,7 @@ def power_iterate(nodes: DataFrame, links: DataFrame, rounds: int = 3) -> DataFr
     at = stage(at, "nodes")
     for _ in range(rounds):
         sums = links.join(at.select(F.col("id").alias("b"), "e0", "e1"), "b").groupBy("a").agg(*[F.sum(F.col("w") * F.col(e)).alias(f"s{e}") for e in ("e0", "e1")])
-        moved = [((F.col("n") * F.col(e) + F.coalesce(f"s{e}", F.lit(0))) / F.col("degree")).alias(e) for e in ("e0", "e1")]
+        moved = [((F.col("n") * F.col(e) + F.coalesce(f"s{e}", F.lit(0))) / F.col("degree")).cast("long").alias(e) for e in ("e0", "e1")]
         at = stage(at.join(sums, at.id == sums.a, "left").select("id", "n", "degree", *moved), "nodes")
     return at
 
