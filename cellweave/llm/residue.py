@@ -8,6 +8,7 @@ labelled passage, is the model's.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ _MISSING = "undefined|null|NaN|None|nil"
 _SIGN = r"{}\[\]<>%$@#~|*^&_\\=`«»‹›()"
 _QUOTE = r"\"“”„‘’'"
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}。、！？"
-_HINT = regex.compile(rf"[{_SIGN}]|\w[._:]\w|{_MISSING}")
+_HINT = re.compile(rf"[{_SIGN}]|\w[._:]\w|{_MISSING}")
 _MARKS = regex.compile(
     rf"(?<![^\s{_CJK}])[{_QUOTE}]?[{_SIGN}][{_SIGN}?!%]*(?:[^\s{_SIGN}]+|\[\d+\])?(?:[ ][^\s{_SIGN}]+){{0,3}}?[ ]?[^\s{_SIGN}{_CJK}]*[{_SIGN}](?:[^\s{_CJK}]*)"  # opened and closed, up to four words
     rf"|[^\s{_CJK}]*(?:[{_SIGN}]|\w[._:]\w)[^\s{_CJK}]*"  # one chunk
@@ -57,10 +58,11 @@ TRUSTED_MARK = regex.compile(
 QUOTED_MARK = regex.compile(rf"[{_QUOTE}«‹`].*[{_QUOTE}»›`]")  # a text speaks of it: a label against
 # Labels of a line that gives a status code, and of a program's own report.
 TRUSTED_CODE = regex.compile(r"(?i)\s*(?:(?:http(?:/[\d.]+)?|error|status|code|fehler|erreur|erro)[ =:]*[45]\d\d\b|[45]\d\d\s*$|[45]\d\d[ :.-]+\p{Lu})")
-TRUSTED_REPORT = regex.compile(r"(?i)traceback \(most recent|\bat [\w.$]+\(\w+\.java:\d+\)|sqlstate\[")
+TRUSTED_REPORT = re.compile(r"(?i)traceback \(most recent|\bat [\w.$]+\(\w+\.java:\d+\)|sqlstate\[")
 # Labels of filler, and of what asks for scripts outside a noscript element.
-TRUSTED_LINE = regex.compile(
-    r"(?i)(?:\b(?:lorem|ipsum|dolor|amet|elit)\b.*){3}|\b(?:goes here|placeholder for|click to edit)\b|^(?:sample text ?){2}|^replace this|^hier steht (?:später )?ihr text|^seu texto aqui|^su texto (?:va )?aquí"
+TRUSTED_LATIN = {"lorem", "ipsum", "dolor", "amet", "elit"}  # three of these
+TRUSTED_LINE = re.compile(
+    r"(?i)\b(?:goes here|placeholder for|click to edit)\b|^(?:sample text ?){2}|^replace this|^hier steht (?:später )?ihr text|^seu texto aqui|^su texto (?:va )?aquí"
     r"|^texte de remplissage|^здесь будет ваш текст|^ここに文章を入力|^(?:please )?(?:enable|allow|turn on) (?:javascript|js|scripts)"
 )
 
@@ -145,6 +147,8 @@ class Cutter:
                     at = m.end()
                 rest = " \x02 ".join([*parts, line[at:]])
             words = [self._word(w) for w in _WORD.findall(rest)]
+            if sum(w in TRUSTED_LATIN for w, _ in words) >= 3:
+                known = TRUSTED
             kept: list[tuple[str, int]] = []
             i = 0
             while i < len(words):  # a word three times in a row, or more, is a passage of its own
@@ -200,7 +204,7 @@ class Model:
         owner = np.repeat(np.arange(len(sizes)), sizes)
         flat, view = coded & (BUCKETS - 1), coded >= _VIEW
         mark = (bits & MARK).astype(np.int64)
-        own = self.weights[mark[owner], flat]
+        own = self.weights[mark[owner], flat].astype(float)
         if self.first:  # labels of marks were chosen by shape: at first only names and neighbours speak, and only for
             own = np.where(mark[owner] == 1, np.where(view, 0.0, np.maximum(own, 0.0)), own)
         score = np.bincount(owner, own, len(sizes))
@@ -281,6 +285,7 @@ def learn(table: DataFrame, coverage: float = 0.65, shrink: tuple[float, float]
             yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1 - np.arange(10)).astype(np.int32)), pa.array(np.append(both[k], sums.ravel()))], names=["k", "n"])
 
         positive, extra = gathered(table.mapInArrow(expect, "k int, n double"))
+        held.destroy()
         expected, with_other, other, alone, no_other = extra[:10].reshape(5, 2)
         share = np.clip(expected / totals, 1e-5, 0.5)
         # features of the two kinds are told apart by name; a bucket's evidence is taken against the share of the kind that asks
@@ -290,7 +295,7 @@ def learn(table: DataFrame, coverage: float = 0.65, shrink: tuple[float, float]
         else:
             prior_alone = _log_odds(np.clip((alone + 0.5) / (no_other + 1), 1e-5, 0.9))
             prior_beside = _log_odds(np.clip((with_other + 0.5) / (other + 1), 1e-4, 0.9))
-        model = Model(np.stack(weights), prior_alone, prior_beside, coverage, turn == 0)
+        model = Model(np.stack(weights).astype(np.float32), prior_alone, prior_beside, coverage, turn == 0)
         if before is not None and np.abs(expected - before).sum() <= close * max(1.0, expected.sum()):
             break
         before = expected
