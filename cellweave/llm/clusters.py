@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +125,7 @@ def similarity_links(balls: DataFrame, radius: float, ratio: float, reach: float
     reach. A leaf beyond ``hot`` balls is cut into blocks, and each pair of blocks is a group of its own.
     """
     spark = balls.sparkSession
-    total = balls.count()
-    share = min(1.0, sample_rows / max(1, total))
-    drawn = balls.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * sample_rows).collect()
+    drawn, share = draw(balls, sample_rows, 3, ["v"])
     sample = np.array([r[0] for r in drawn], dtype=float) if drawn else np.zeros((0, 1))
     far = radius + 2 * reach + 1e-6
     tree = spark.sparkContext.broadcast(build_tree(sample, 1 / share, capacity, far))  # bounded by the sample
@@ -205,42 +204,135 @@ def settle(open_pairs: DataFrame, members: DataFrame, radius: float, ratio: floa
     return flags.groupBy("a", "b").agg(F.bool_or("some").alias("some"), F.bool_or("none").alias("none"))
 
 
-def power_iterate(nodes: DataFrame, links: DataFrame, rounds: int = 3) -> DataFrame:
-    """(id, n, degree, e0, e1): two random vectors after ``rounds`` products with the row-normalised affinities.
+VECTORS = ("e0", "e1", "e2", "e3")
+_SPAN = 1 << 30  # the vectors' first entries are whole numbers below this
 
-    ``nodes`` (id, n) stand for n equal records each, similar to themselves. Members of a set that is similar to itself and
-    nothing else get equal values: sums are exact in integers, and each round's means are cut to integers.
+
+def power_iterate(nodes: DataFrame, links: DataFrame, rounds: int = 4) -> DataFrame:
+    """(id, n, degree, e0 … e3): four random vectors after ``rounds`` products with the row-normalised affinities.
+
+    ``nodes`` (id, n) stand for n records each that are all similar. What is similar to itself and nothing else gets equal
+    values: sums are exact in integers, and each round's means are cut to integers. Sets that a few links join keep
+    values far apart, for a random walk of a few steps seldom leaves them.
     """
-    start = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)).cast("long")
+    start = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(_SPAN)).cast("long")
     degrees = links.groupBy("a").agg(F.sum("w").alias("s"))
-    at = nodes.join(degrees, nodes.id == degrees.a, "left").select("id", "n", (F.col("n") + F.coalesce("s", F.lit(0))).alias("degree"), start(1).alias("e0"), start(2).alias("e1"))
-    at = stage(at, "nodes")
+    first = [start(i + 1).alias(e) for i, e in enumerate(VECTORS)]
+    at = stage(nodes.join(degrees, nodes.id == degrees.a, "left").select("id", "n", (F.col("n") + F.coalesce("s", F.lit(0))).alias("degree"), *first), "nodes")
     for _ in range(rounds):
-        sums = links.join(at.select(F.col("id").alias("b"), "e0", "e1"), "b").groupBy("a").agg(*[F.sum(F.col("w") * F.col(e)).alias(f"s{e}") for e in ("e0", "e1")])
-        moved = [((F.col("n") * F.col(e) + F.coalesce(f"s{e}", F.lit(0))) / F.col("degree")).cast("long").alias(e) for e in ("e0", "e1")]
+        sums = links.join(at.select(F.col("id").alias("b"), *VECTORS), "b").groupBy("a").agg(*[F.sum(F.col("w") * F.col(e)).alias(f"s{e}") for e in VECTORS])
+        moved = [((F.col("n") * F.col(e) + F.coalesce(f"s{e}", F.lit(0))) / F.col("degree")).cast("long").alias(e) for e in VECTORS]
         at = stage(at.join(sums, at.id == sums.a, "left").select("id", "n", "degree", *moved), "nodes")
     return at
 
 
-def embedding_kmeans(at: DataFrame, least: int, step: float = 1e-3, rounds: int = 2) -> DataFrame:
-    """(id, n, degree, centre): k-means on (e0, e1); every grid square that holds ``least`` records starts a centre.
+def embedding_kmeans(at: DataFrame, least: int, step: float = _SPAN / 256, rounds: int = 3) -> DataFrame:
+    """(id, n, degree, centre): k-means on the embedding; every grid cell of it that holds ``least`` records starts a centre.
 
-    A point looks for its nearest centre in its own and the eight adjacent squares, so k is unbounded and no point meets
-    all centres. Points with no centre that near are outside all clusters.
+    A point looks for its nearest centre, by all coordinates, among those whose first two lie in its own square or the
+    eight around, so k is unbounded and no point meets all centres. Points with no centre that near are outside all clusters.
     """
-    square = lambda e: F.floor(F.col(e) / step).cast("long")
+    cell = lambda e: F.floor(F.col(e) / step).cast("long")
     mean = lambda e: (F.sum(F.col("n") * F.col(e)) / F.sum("n")).alias(e)
-    points = at.select("id", "n", "degree", "e0", "e1", square("e0").alias("q0"), square("e1").alias("q1"))
-    centres = points.groupBy("q0", "q1").agg(F.sum("n").alias("size"), F.min("id").alias("centre"), mean("e0"), mean("e1")).where(F.col("size") >= least)
-    around = F.explode(F.array(*[F.struct((F.col("q0") + i).alias("q0"), (F.col("q1") + j).alias("q1")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    assigned = None
+    points = at.select("id", "n", "degree", *VECTORS, cell("e0").alias("q0"), cell("e1").alias("q1"))
+    centres = points.groupBy("q0", "q1", cell("e2"), cell("e3")).agg(F.sum("n").alias("size"), F.min("id").alias("centre"), *map(mean, VECTORS)).where(F.col("size") >= least)
+    around = F.explode(F.array(*[F.struct((cell("e0") + i).alias("q0"), (cell("e1") + j).alias("q1")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     for _ in range(rounds):
-        reach = centres.select("centre", F.col("e0").alias("c0"), F.col("e1").alias("c1"), square("e0").alias("q0"), square("e1").alias("q1")).select("centre", "c0", "c1", around.alias("q"))
-        reach = reach.select("centre", "c0", "c1", "q.q0", "q.q1")
-        far = (F.col("e0") - F.col("c0")) ** 2 + (F.col("e1") - F.col("c1")) ** 2
-        assigned = points.join(reach, ["q0", "q1"]).groupBy("id", "n", "degree", "e0", "e1").agg(F.min_by("centre", F.struct(far, "centre")).alias("centre"))
-        centres = assigned.groupBy("centre").agg(mean("e0"), mean("e1"))
-    return stage(assigned.select("id", "n", "degree", "centre"), "assigned")
+        named = [F.col(e).alias(f"c{e}") for e in VECTORS]
+        reach = centres.select("centre", *named, around.alias("q")).select("centre", *[f"c{e}" for e in VECTORS], "q.q0", "q.q1")
+        far = reduce(lambda a, b: a + b, [(F.col(e) - F.col(f"c{e}")) ** 2 for e in VECTORS])
+        assigned = points.join(reach, ["q0", "q1"]).groupBy("id", "n", "degree", *VECTORS).agg(F.min_by("centre", F.struct(far, "centre")).alias("centre"))
+        assigned = stage(assigned, "assigned")
+        centres = assigned.groupBy("centre").agg(*map(mean, VECTORS))
+    return assigned.select("id", "n", "degree", "centre")
+
+
+def gather_near(v: np.ndarray, group: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ball of every point, distance from its centre, centre of every ball): points of one ball lie within ``reach`` of its centre and are of one group.
+
+    A set that does not fit into a ball is halved at the median of its widest axis until its parts do, so the work is that
+    of a sort, whatever the density.
+    """
+    ball, dist, centres = np.zeros(len(v), dtype=np.int64), np.zeros(len(v)), []
+    order = np.argsort(group, kind="stable")
+    todo = np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []
+    while todo:
+        own = todo.pop()
+        x = v[own]
+        c = x[0] if len(own) == 1 else x.mean(axis=0)
+        d = np.sqrt(((x - c) ** 2).sum(axis=1))
+        if d.max() > reach:
+            axis = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
+            low = x[:, axis] <= np.median(x[:, axis])
+            if low.all():
+                low = x[:, axis] < x[:, axis].max()
+            todo += [own[low], own[~low]]
+            continue
+        ball[own], dist[own] = len(centres), d
+        centres.append(c)
+    return ball, dist, np.array(centres).reshape(len(centres), v.shape[1])
+
+
+def octave_of(lo: np.ndarray, ratio: float) -> np.ndarray:
+    """The power of ``ratio`` that an area lies in, exact at its ends; records of one octave have areas similar to each other."""
+    octave = np.where(lo > 0, np.floor(np.log(np.maximum(lo, 1e-300)) / np.log(ratio)), -9999)
+    return np.where((lo > 0) & (ratio ** (octave + 1.0) <= lo), octave + 1, np.where((lo > 0) & (ratio**octave > lo), octave - 1, octave)).astype(np.int32)
+
+
+def draw(rows: DataFrame, sample_rows: int, salt: int, columns: list[str]) -> tuple[list, float]:
+    """(a hashed sample of about ``sample_rows`` rows, its share)."""
+    share = min(1.0, sample_rows / max(1, rows.count()))
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(*columns)
+    return drawn.limit(2 * sample_rows).collect(), share  # the limit only guards the driver; the hash already bounds the sample
+
+
+def local_balls(single: DataFrame, radius: float, ratio: float, reach: float, capacity: int = 20_000, sample_rows: int = 30_000, hot: int = 60_000) -> DataFrame:
+    """(ball, id, n, s, lo, v, c, r): every row of ``single`` (id, n, s, lo, v) with its ball; c and r, the ball's centre and radius, stand in one row of each ball.
+
+    All rows are brought to the leaf of a k-d tree that holds them, and gathered there, so no cluster's gathering depends
+    on whether a sample met it. The sample decides the leaves only; one beyond ``hot`` rows is cut into blocks.
+    """
+    spark = single.sparkSession
+    drawn, share = draw(single, sample_rows, 5, ["v"])
+    sample = np.array([r[0] for r in drawn], dtype=float) if drawn else np.zeros((0, 1))
+    tree = spark.sparkContext.broadcast(build_tree(sample, 1 / share, capacity, 0.25 * radius))  # bounded by the sample
+    schema = "id long, n long, s double, lo double, v array<double>"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            row, leaf, _ = leaves_of(tree.value, v, 0.0)
+            at = np.zeros(batch.num_rows, dtype=np.int64)
+            at[row] = leaf
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "leaf"])
+
+    placed = single.select("id", "n", "s", "lo", "v").mapInArrow(place, f"{schema}, leaf long")
+    full = F.broadcast(placed.groupBy("leaf").count().where(F.col("count") > hot).select("leaf", F.ceil(F.col("count") / hot).cast("long").alias("k")))  # bounded by the sample's leaves
+    blocks = placed.join(full, "leaf", "left").select(*placed.columns, F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1).cast("long"))).alias("part"))
+
+    def gather(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        col = lambda c: table.column(c).combine_chunks()
+        ids, lo, s = (col(c).to_numpy() for c in ("id", "lo", "s"))
+        v = col("v").flatten().to_numpy().reshape(len(ids), -1)
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+        group = np.unique(np.stack([run, s, octave_of(lo, ratio)], axis=1), axis=0, return_inverse=True)[1].ravel()
+        ball, dist, centres = gather_near(v, group, reach)
+        order = np.lexsort((ids, ball))
+        first = order[np.unique(ball[order], return_index=True)[1]]  # the row of the ball's least id
+        most = np.zeros(len(first))
+        np.maximum.at(most, ball, dist)
+        single = np.bincount(ball) == 1
+        r = pa.array(np.where(single, 0.0, np.maximum(most, _EPS))).take(pa.array(ball))
+        names = ids[first][ball]
+        is_first = pa.array(np.isin(np.arange(len(ids)), first))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, centres.size + 1, max(1, v.shape[1]), dtype=np.int32)), pa.array(centres.ravel()))
+        none = pa.nulls(len(ids), pa.list_(pa.float64()))
+        c = pa.compute.if_else(is_first, flat.take(pa.array(ball)), none)
+        yield pa.RecordBatch.from_arrays([pa.array(names), col("id"), col("n"), col("s"), col("lo"), col("v"), c, r], names=["ball", "id", "n", "s", "lo", "v", "c", "r"])
+
+    return map_sorted_runs(blocks, ["leaf", "part"], [], gather, f"ball long, {schema}, c array<double>, r double")
 
 
 def spectral_clusters(
@@ -251,9 +343,9 @@ def spectral_clusters(
     Similar are records of equal ``size_class`` whose vectors are at most ``radius`` apart and of whose areas the larger is
     at most ``ratio`` times the smaller; group_id is the least id of the cluster.
 
-    Records are first gathered into balls whose members are all similar whatever their number: around the dense places of a
-    bounded sample, within half the radius and one power of ``ratio`` of area, and else one ball of radius 0 for all equal
-    records. Every record has a ball, and no pairs are made inside one. Affinities join balls: two balls' members are all
+    Records are first gathered into balls whose members are all similar whatever their number, within half the radius and
+    one power of ``ratio`` of area: around the dense places of a bounded sample, without moving a row, and all others, equal
+    ones first, among their neighbours in space (``local_balls``). Every record has a ball, and no pairs are made inside one. Affinities join balls: two balls' members are all
     similar, or none is, by their radii; what the radii leave open is settled by the members themselves. The affinities are
     normalised by degree, iterated and clustered by k-means; a cluster so found is kept if every ball's links are exactly
     the other balls of the cluster, all wholly similar. The sample decides only what is gathered, never the result.
@@ -267,8 +359,7 @@ def spectral_clusters(
     cells = records.where(known & F.col(record_id).isNotNull() & (F.col(area) >= 0)).select(
         F.col(record_id).cast("long").alias("id"), number(size_class).alias("s"), number(area).alias("lo"), F.array(*map(number, vector)).alias("v")
     )
-    share = min(1.0, sample_rows / max(1, cells.count()))
-    drawn = cells.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("s", "v").limit(2 * sample_rows).collect()
+    drawn = draw(cells, sample_rows, 11, ["s", "v"])[0] if sample_rows else []
     centres, kinds = cores_of(np.array([r[1] for r in drawn], dtype=float).reshape(-1, len(vector)), np.array([r[0] for r in drawn], dtype=float), support, reach)
     held = spark.sparkContext.broadcast((centres, kinds))  # bounded by the sample
 
@@ -289,10 +380,8 @@ def spectral_clusters(
                     best = mine[d2.argmin(axis=1)]
                     d = np.sqrt(((v[some] - c[best]) ** 2).sum(1))
                     core[some], dist[some] = np.where(d <= reach, best, -1), np.where(d <= reach, d, 0.0)
-            octave = np.where(lo > 0, np.floor(np.log(np.maximum(lo, 1e-300)) / np.log(ratio)), -9999)
-            whole = np.where((lo > 0) & (ratio ** (octave + 1.0) <= lo), octave + 1, np.where((lo > 0) & (ratio**octave > lo), octave - 1, octave))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("s"), batch.column("lo"), batch.column("v"), pa.array(core), pa.array(whole.astype(np.int32)), pa.array(dist)],
+                [batch.column("id"), batch.column("s"), batch.column("lo"), batch.column("v"), pa.array(core), pa.array(octave_of(lo, ratio)), pa.array(dist)],
                 names=["id", "s", "lo", "v", "core", "octave", "dist"],
             )
 
@@ -301,9 +390,12 @@ def spectral_clusters(
     narrow = stage(gathered.select("id", "s", "lo", "core", "octave", "dist", F.when(F.col("core") < 0, F.col("v")).alias("v")), "gathered")
     dense = narrow.where("core >= 0").groupBy("core", "octave", "s").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("lo").alias("hi"), F.max("dist").alias("r"))
     dense = stage(dense.join(F.broadcast(centre), "core"), "dense")  # both bounded by the sample's places
-    single = stage(narrow.where("core < 0").groupBy("s", "lo", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "single")
+    equal = stage(narrow.where("core < 0").groupBy("s", "lo", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "equal")
+    single = stage(local_balls(equal, radius, ratio, reach), "single")
+    local = single.groupBy("ball").agg(F.sum("n").alias("n"), F.first("s").alias("s"), F.min("lo").alias("lo"), F.max("lo").alias("hi"), F.max("r").alias("r"), F.first("c", True).alias("v"))
     ball = ["id", "n", "s", "lo", "hi", "r", "v"]
-    balls = dense.withColumn("r", F.greatest(F.col("r") + _EPS, F.lit(_EPS))).select(*ball).unionByName(single.select("id", "n", "s", "lo", F.col("lo").alias("hi"), F.lit(0.0).alias("r"), "v"))
+    wide = F.when(F.col("r") > 0, F.col("r") + _EPS).otherwise(F.lit(0.0)).alias("r")
+    balls = dense.withColumn("r", F.greatest(F.col("r") + _EPS, F.lit(_EPS))).select(*ball).unionByName(local.select(F.col("ball").alias("id"), "n", "s", "lo", "hi", wide, "v"))
     balls = stage(balls, "balls")
     links = stage(similarity_links(balls, radius, ratio, reach), "links")
 
@@ -314,7 +406,7 @@ def spectral_clusters(
         asked = opened.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = F.broadcast(dense.join(asked, "id", "left_semi").select("core", "octave", "s", F.col("id").alias("node")))  # bounded by the sample's places
         members = gathered.where("core >= 0").join(wanted, ["core", "octave", "s"]).select("node", "id", "lo", "v").unionByName(
-            single.join(asked, "id", "left_semi").select(F.col("id").alias("node"), "id", "lo", "v")
+            single.join(asked.withColumnRenamed("id", "ball"), "ball", "left_semi").select(F.col("ball").alias("node"), "id", "lo", "v")
         )
         told = settle(opened, stage(members, "members"), radius, ratio).where("some").select("a", "b", F.when(F.col("none"), MIXED).otherwise(ALL).alias("kind"))
         both = told.unionByName(told.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind"))
@@ -332,7 +424,7 @@ def spectral_clusters(
     )
     found = stage(checked.join(good, "centre").select("id", "group_id"), "clusters")
     in_dense = F.broadcast(dense.join(found, "id").select("core", "octave", "s", "group_id"))  # bounded by the sample's places
-    in_single = single.join(found, "id").select("s", "lo", "v", "group_id")
+    in_single = single.join(found.select(F.col("id").alias("ball"), "group_id"), "ball").select("s", "lo", "v", "group_id")
     return (
         narrow.where("core >= 0").join(in_dense, ["core", "octave", "s"]).select(F.col("id").alias(record_id), "group_id")
         .unionByName(narrow.where("core < 0").join(in_single, ["s", "lo", "v"]).select(F.col("id").alias(record_id), "group_id"))

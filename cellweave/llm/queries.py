@@ -137,12 +137,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.spectral_clusters(_table(spark, folder, "features"), "cell_id", P5_VECTOR, "area", "padded_size")
 
 
-@_query("p5_clusters")
+P5_CLUSTERS_SQL = f"""
+WITH c AS ({P5_SQL}), v AS (SELECT c.group_id, f.cell_id, {", ".join(f"f.{c}" for c in P5_VECTOR)} FROM c JOIN features f USING (cell_id)),
+w AS (SELECT a.group_id, a.cell_id, round(sum(1 - ({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in P5_VECTOR)})), 4) AS affinity FROM v a JOIN v b ON a.group_id = b.group_id GROUP BY a.group_id, a.cell_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY affinity DESC, cell_id) AS i, count(*) OVER (PARTITION BY group_id) AS size FROM w)
+SELECT group_id, size, {", ".join(f"max(CASE WHEN i = {k} THEN cell_id END) AS typical_{k}" for k in (1, 2, 3))} FROM r GROUP BY group_id, size
+"""
+
+
+@_query("p5_clusters", P5_CLUSTERS_SQL)
 def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Every cluster with its size and its three most typical cells."""
     features = _table(spark, folder, "features")
     members = stage(clusters.spectral_clusters(features, "cell_id", P5_VECTOR, "area", "padded_size"), "members")
-    return clusters.typical_members(members, features, "cell_id", P5_VECTOR)
+    found = clusters.typical_members(members, features, "cell_id", P5_VECTOR)
+    return found.select("group_id", "size", *[F.col("typical")[k - 1].alias(f"typical_{k}") for k in (1, 2, 3)])
 
 
 # ---------------------------------------------------------------- p6

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from cellweave.llm.clusters import spectral_clusters, typical_members
+from cellweave.llm.clusters import embedding_kmeans, gather_near, local_balls, power_iterate, spectral_clusters, typical_members
 
 V = ["v0", "v1", "v2"]
 SCHEMA = "cell_id long, v0 double, v1 double, v2 double, area int, padded_size int, group_id string"
@@ -40,13 +40,13 @@ def data(seed):
     return rows + copies + odd
 
 
-@pytest.mark.parametrize("seed,support", [(1, 3), (2, 10_000)])
-def test_against_brute_force(spark, seed, support):
+@pytest.mark.parametrize("seed,sampled", [(1, 30_000), (2, 0)])
+def test_against_brute_force(spark, seed, sampled):
     rows = data(seed)
     want = brute(rows)
     assert len(set(want.values())) >= 8
     df = spark.createDataFrame(rows, SCHEMA)
-    members = spectral_clusters(df, "cell_id", V, "area", "padded_size", support=support)
+    members = spectral_clusters(df, "cell_id", V, "area", "padded_size", sample_rows=sampled)
     got = {r.cell_id: r.group_id for r in members.collect()}
     assert got == want
     if seed == 1:
@@ -59,3 +59,43 @@ def test_against_brute_force(spark, seed, support):
 
 def test_empty(spark):
     assert spectral_clusters(spark.createDataFrame([], SCHEMA), "cell_id", V, "area", "padded_size").count() == 0
+
+
+def cliques():
+    rng = np.random.default_rng(4)
+    return [(2_000 * c + i, 1, 15.0, 100.0 + i % 40, [float(x) for x in 6.0 * c + rng.normal(0, 0.08, 10)]) for c in range(5) for i in range(2_000)]
+
+
+def test_gathering_needs_no_sample(spark):
+    rows = cliques()
+    balls = local_balls(spark.createDataFrame(rows, "id long, n long, s double, lo double, v array<double>"), 1.0, 2.0, 0.5 - 1e-6, capacity=500, hot=700).collect()
+    assert sorted(r.id for r in balls) == list(range(10_000))
+    members = {}
+    for r in balls:
+        members.setdefault(r.ball, []).append(r)
+    assert len(members) < 400 and sum(r.c is not None for r in balls) == len(members)  # so their links are few, whatever the number of rows
+    for ball, own in members.items():
+        v = np.array([r.v for r in own])
+        assert ball == min(r.id for r in own) and ((v[:, None] - v[None]) ** 2).sum(-1).max() <= 1 and max(r.lo for r in own) <= 2 * min(r.lo for r in own)
+
+
+def test_whole_cliques_without_sample(spark):
+    df = spark.createDataFrame([(i, *v, int(lo), 15) for i, _, _, lo, v in cliques()], "id long, " + ", ".join(f"v{k} double" for k in range(10)) + ", area int, size int")
+    got = spectral_clusters(df, "id", [f"v{k}" for k in range(10)], "area", "size", sample_rows=0).collect()
+    assert {r.id: r.group_id for r in got} == {i: i // 2_000 * 2_000 for i in range(10_000)}
+
+
+def test_gather_near_scattered():
+    v = np.random.default_rng(1).uniform(-50, 50, (3_000, 4))
+    ball, dist, centres = gather_near(np.concatenate([v, v[:5]]), np.zeros(3_005), 0.4)
+    assert dist.max() <= 0.4 and (ball[:5] == ball[3_000:]).all() and len(centres) > 2_900
+    assert len(gather_near(np.zeros((0, 4)), np.zeros(0), 0.4)[0]) == 0
+
+
+def test_embedding_parts_cliques_joined_by_a_few_links(spark):
+    pairs = [(a, b) for c in (0, 100) for a in range(c, c + 40) for b in range(c, c + 40) if a != b] + [(0, 100), (100, 0), (1, 101), (101, 1)]
+    links = spark.createDataFrame([(a, b, 1) for a, b in pairs], "a long, b long, w long")
+    nodes = spark.createDataFrame([(i, 1) for c in (0, 100) for i in range(c, c + 40)], "id long, n long")
+    centre = {r.id: r.centre for r in embedding_kmeans(power_iterate(nodes, links), 5).collect()}
+    main = [{centre.get(i) for i in range(c + 2, c + 40)} for c in (0, 100)]
+    assert len(main[0]) == len(main[1]) == 1 and main[0] != main[1] and None not in main[0] | main[1]
