@@ -230,7 +230,8 @@ def embedding_kmeans(at: DataFrame, least: int, step: float = _SPAN / 256, round
     """(id, n, degree, centre): k-means on the embedding; every grid cell of it that holds ``least`` records starts a centre.
 
     A point looks for its nearest centre, by all coordinates, among those whose first two lie in its own square or the
-    eight around, so k is unbounded and no point meets all centres. Points with no centre that near are outside all clusters.
+    eight around, so k is unbounded and no point meets all centres. Points with no centre within ``step`` in every
+    coordinate are outside all clusters.
     """
     cell = lambda e: F.floor(F.col(e) / step).cast("long")
     mean = lambda e: (F.sum(F.col("n") * F.col(e)) / F.sum("n")).alias(e)
@@ -241,7 +242,8 @@ def embedding_kmeans(at: DataFrame, least: int, step: float = _SPAN / 256, round
         named = [F.col(e).alias(f"c{e}") for e in VECTORS]
         reach = centres.select("centre", *named, around.alias("q")).select("centre", *[f"c{e}" for e in VECTORS], "q.q0", "q.q1")
         far = reduce(lambda a, b: a + b, [(F.col(e) - F.col(f"c{e}")) ** 2 for e in VECTORS])
-        assigned = points.join(reach, ["q0", "q1"]).groupBy("id", "n", "degree", *VECTORS).agg(F.min_by("centre", F.struct(far, "centre")).alias("centre"))
+        near = reduce(lambda a, b: a & b, [F.abs(F.col(e) - F.col(f"c{e}")) <= step for e in VECTORS])
+        assigned = points.join(reach, ["q0", "q1"]).where(near).groupBy("id", "n", "degree", *VECTORS).agg(F.min_by("centre", F.struct(far, "centre")).alias("centre"))
         assigned = stage(assigned, "assigned")
         centres = assigned.groupBy("centre").agg(*map(mean, VECTORS))
     return assigned.select("id", "n", "degree", "centre")

@@ -99,3 +99,9 @@ def test_embedding_parts_cliques_joined_by_a_few_links(spark):
     centre = {r.id: r.centre for r in embedding_kmeans(power_iterate(nodes, links), 5).collect()}
     main = [{centre.get(i) for i in range(c + 2, c + 40)} for c in (0, 100)]
     assert len(main[0]) == len(main[1]) == 1 and main[0] != main[1] and None not in main[0] | main[1]
+
+
+def test_far_points_join_no_centre(spark):
+    rows = [(i, 1, 5, 100, 100, 100, 100) for i in range(5)] + [(9, 1, 1, 100, 100, 1 << 29, 100)]
+    at = spark.createDataFrame(rows, "id long, n long, degree long, e0 long, e1 long, e2 long, e3 long")
+    assert {r.id: r.centre for r in embedding_kmeans(at, 5).collect()} == {i: 0 for i in range(5)}
