@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, stage
@@ -48,64 +49,75 @@ class Compacted:
     digest: tuple
 
 
-def digest(df: DataFrame, columns: list[str]) -> tuple:
-    """(rows, sum and xor of row hashes): equal multisets of rows have equal digests, in whatever order and files they lie."""
+def _digest(columns: list[str]) -> list[Column]:
+    """Aggregates over the rows' hashes: their number, the sums of three parts of 22 bits and less (no overflow below 10^12 rows), and their xor."""
     h = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in columns])
-    r = df.select(h.alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(h)").alias("x")).first()
-    return r["n"], int(r["s"] or 0), r["x"] or 0
+    parts = [F.coalesce(F.sum(F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << 22) - 1))), F.lit(0)).alias(f"s{at}") for at in (0, 22, 44)]
+    return [F.count("*").alias("n"), *parts, F.coalesce(F.bit_xor(h), F.lit(0)).alias("x")]
+
 
+def digest(df: DataFrame, columns: list[str]) -> tuple:
+    """(rows, sums and xor of row hashes): equal multisets of rows have equal digests, in whatever order and files they lie."""
+    return tuple(df.agg(*_digest(columns)).first())
 
-def compact(df: DataFrame, by: list[str], dims: list[str], path: str | None = None, rows_per_file: int = 250_000) -> Compacted:
+
+def compact(df: DataFrame, by: list[str], dims: list[str], path: str | None = None, rows_per_file: int = 250_000, least_files: int = 8) -> Compacted:
     """Rewrite ``df`` as balanced Parquet files clustered by ``by`` and then by the Hilbert code of ``dims``.
 
-    The exact histogram of code prefixes gives every prefix its place in the global order, hence its file; a prefix that
-    alone exceeds a file is spread over several by row hash. The digest of what was written must equal that of the
-    source, else ``RuntimeError``. Rows with a null in ``dims`` are kept, ahead of the others; ties, repeated rows and
-    extra columns are kept as they are; an empty table gives one empty file.
+    Every dimension is scaled to the same width, so a range of any of them meets few files. The exact histogram of code
+    prefixes gives every prefix its place in the global order, hence its file; a prefix that alone holds a quarter of a file
+    is cut by row hash before it is joined with its place, so no key of the join and no file is hot. Files hold
+    ``rows_per_file`` rows, or fewer where there would be less than ``least_files``, so no single task writes everything.
+    The digest of what was written must equal that of the source, else ``RuntimeError``. Rows with a null in ``dims`` are
+    kept, ahead of the others; ties, repeated rows and extra columns are kept as they are; an empty table gives no rows.
     """
     spark, schema, names = df.sparkSession, df.schema, df.columns
     columns = [f"c{i}" for i in range(len(names))]  # so that no name of the source clashes with one used here
     by, dims = ([columns[names.index(c)] for c in part] for part in (by, dims))
     df = stage(df.toDF(*columns), "source")  # the source may be costly to read; it is read once
-    spans = df.agg(*[f(F.col(c).cast("long")).alias(f"{k}{i}") for i, c in enumerate(dims) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = [f(F.col(c).cast("long")).alias(f"{k}{i}") for i, c in enumerate(dims) for k, f in (("lo", F.min), ("hi", F.max))]
+    spans = df.agg(*_digest(columns), *ends).first()
+    before = tuple(spans[: len(spans) - len(ends)])
+    total = before[0]
     low = [spans[f"lo{i}"] or 0 for i in range(len(dims))]
-    width = max(1, max((spans[f"hi{i}"] or 0) - low[i] for i in range(len(dims))).bit_length())
-    bits = min(width, 62 // len(dims))
-    drop = width - bits
+    wide = [max(1, (spans[f"hi{i}"] or 0) - low[i]) for i in range(len(dims))]
+    bits = 62 // len(dims)
 
     @F.pandas_udf("long")
     def code(block: pd.DataFrame) -> pd.Series:
         known = block.notna().all(axis=1).to_numpy()
         out = np.full(len(block), -1, dtype=np.int64)
         if known.any():
-            out[known] = hilbert_code([(block.iloc[:, i].to_numpy()[known].astype(np.int64) - low[i]) >> drop for i in range(len(low))], bits)
+            share = [(block.iloc[:, i].to_numpy()[known].astype(np.int64) - low[i]) / wide[i] for i in range(len(low))]
+            out[known] = hilbert_code([np.floor(s * ((1 << bits) - 1)).astype(np.int64) for s in share], bits)
         return pd.Series(out)
 
-    coded = df.withColumn("_code", code(F.struct(*[F.col(c).cast("long").alias(f"d{i}") for i, c in enumerate(dims)])))
-    source = coded.withColumn("_bin", F.shiftright("_code", 3 * len(dims)))
-    before = digest(df, columns)
-    histogram = source.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
-    placed = global_prefix(histogram, [*by, "_bin"], "_n", out="_start")
-    files = max(1, -(-before[0] // rows_per_file))
-    pieces = F.ceil(F.col("_n") / rows_per_file)
-    within = F.when(F.col("_n") <= rows_per_file, F.col("_n") / 2).otherwise(
-        (F.pmod(F.xxhash64(*[F.col(f"r.`{c}`") for c in columns]), pieces) + 0.5) * F.col("_n") / pieces
-    )
-    same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"h.`{c}`")) for c in [*by, "_bin"]]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
+    files = max(1, min(max(total, 1), max(least_files, -(-total // rows_per_file))))
+    share = total / files
+    # prefixes so fine that a file holds about 64 of them, if rows were spread evenly
+    keep = min(bits, -(-(files * 64).bit_length() // len(dims)) + 2)
+    source = df.withColumn("_code", code(F.struct(*[F.col(c).cast("long").alias(f"d{i}") for i, c in enumerate(dims)]))).withColumn("_bin", F.shiftright("_code", (bits - keep) * len(dims)))
+    placed = stage(global_prefix(source.groupBy(*by, "_bin").agg(F.count("*").alias("_n")), [*by, "_bin"], "_n", out="_start"), "histogram")
+    row = F.col("_row")
+    source = source.withColumn("_row", F.xxhash64(F.monotonically_increasing_id(), *columns))  # equal rows differ in it; the staged files fix it, should a task run again
+    hot = placed.where(F.col("_n") > max(1.0, share / 4)).select(*[F.col(c).alias(f"h{c}") for c in by], F.col("_bin").alias("h_bin"), F.col("_n").alias("_hn"), F.col("_start").alias("_hs"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"h{c}")) for c in [*by, "_bin"]])
+    told = source.join(F.broadcast(hot), same, "left").withColumn("_cut", F.pmod(row, F.lit(1 << 20)) / float(1 << 20))  # at most four prefixes a file are hot
+    free = told.withColumn("_key", F.when(F.col("_hn").isNull(), F.xxhash64(*by, "_bin")).otherwise(row)).withColumn("_is", F.col("_hn").isNull())
+    rest = placed.select(*[F.col(c).alias(f"p{c}") for c in by], F.col("_bin").alias("p_bin"), F.col("_n").alias("_pn"), F.col("_start").alias("_ps"), F.xxhash64(*by, "_bin").alias("_pkey"))
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"p{c}")) for c in [*by, "_bin"]])
+    at = F.when(F.col("_is"), F.col("_ps") + F.col("_pn") / 2).otherwise(F.col("_hs") + F.col("_cut") * F.col("_hn"))
     target = (
-        source.alias("r").join(placed.alias("h"), condition)
-        .withColumn("_file", F.least(F.lit(files - 1), F.floor((F.col("_start") + within) * files / max(1, before[0]))).cast("int"))
-        .select("r.*", "_file")
+        free.join(rest, (F.col("_key") == F.col("_pkey")) & F.col("_is") & match, "left")
+        .withColumn("_file", F.least(F.lit(files - 1), F.floor(at * files / max(1, total))).cast("int"))
+        .select(*columns, "_code", "_file")
         .repartitionById(files, "_file")
         .sortWithinPartitions(*by, "_code")
-        .drop("_code", "_bin", "_file")
+        .select(*columns)
     )
     path = path or fresh_path(spark, "compacted")
     target.toDF(*names).write.parquet(path)
     after = digest(spark.read.schema(schema).parquet(path), names)
     if after != before:
         raise RuntimeError(f"compaction changed the rows: {before} before, {after} after")
-    return Compacted(path, files, before[0], after)
+    return Compacted(path, files, total, after)

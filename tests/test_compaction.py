@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cellweave.operators.compaction import compact, digest, hilbert_code
 from cellweave.operators.ranking import global_prefix
@@ -54,7 +55,25 @@ def test_compact_keeps_every_row(spark):
     assert Counter(map(tuple, back.collect())) == Counter(rows)
     assert digest(back, df.columns) == done.digest
     sizes = [r["count"] for r in back.groupBy(back._metadata.file_path if hasattr(back, "_metadata") else "_metadata.file_path").count().collect()]
-    assert done.files == 9 and len(sizes) <= 9 and max(sizes) <= 300  # equal rows can't be told apart and stay together
+    assert done.files == 9 and len(sizes) == 9 and max(sizes) <= 2 * min(sizes)  # equal rows are spread too
+
+
+def test_box_meets_few_files(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", int(s), int(x), int(y)) for s, x, y in zip(rng.integers(0, 400, 20_000), rng.integers(0, 50_000, 20_000), rng.integers(0, 50_000, 20_000), strict=True)]
+    df = spark.createDataFrame(rows, "stack string, section int, x int, y int")
+    done = compact(df, ["stack"], ["section", "x", "y"], rows_per_file=320)
+    back = spark.read.schema(df.schema).parquet(done.path).select("*", F.col("_metadata.file_path").alias("f"))
+    spans = back.groupBy("f").agg(F.count("*").alias("n"), *[F.min(c).alias(f"lo_{c}") for c in ("section", "x")], *[F.max(c).alias(f"hi_{c}") for c in ("section", "x")]).collect()
+    assert done.files == len(spans) == 63 and max(r.n for r in spans) <= 2 * min(r.n for r in spans)
+    assert sum(r.lo_section <= 200 <= r.hi_section for r in spans) <= 32 and sum(r.lo_x <= 25_000 <= r.hi_x for r in spans) <= 32
+
+
+def test_several_files_for_few_rows(spark):
+    df = spark.createDataFrame([("a", i % 7, i, -i) for i in range(1_000)], "stack string, section int, x int, y int")
+    done = compact(df, ["stack"], ["section", "x", "y"])
+    sizes = [r["count"] for r in spark.read.schema(df.schema).parquet(done.path).groupBy("_metadata.file_path").count().collect()]
+    assert done.files == len(sizes) == 8 and max(sizes) <= 2 * min(sizes)
 
 
 def test_compact_empty(spark):
