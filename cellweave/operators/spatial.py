@@ -208,7 +208,7 @@ def near_and_inside(
     placed = pts.mapInArrow(place_points, PARTS).unionByName(rings.mapInArrow(place_rings, PARTS))
     placed = stage(placed, "placed")
     full = placed.where("kind < 2").groupBy("p0", "p1", "leaf").count().where(F.col("count") > hot)
-    blocks = full.select("p0", "p1", "leaf", F.ceil(F.col("count") / hot).cast("long").alias("k"))
+    blocks = F.broadcast(full.select("p0", "p1", "leaf", F.ceil(F.col("count") / hot).cast("long").alias("k")))  # at most a row for every ``hot`` placed points
     own = F.pmod(F.xxhash64("id"), F.col("k"))
     other = F.sequence(F.lit(0).cast("long"), F.col("k") - 1)
     meets = F.transform(other, lambda b: F.least(own, b) * F.col("k") + F.greatest(own, b))
