@@ -54,8 +54,10 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "field", "bucket").agg(F.sum("n").alias("n"))
 
 
-def percentiles(sketches: DataFrame, keys: list[str], ranks: dict[str, float], error: float = 0.01) -> DataFrame:
-    """(keys, field, n, one column per rank) of merged sketches.
+def percentiles(sketches: DataFrame, keys: list[str], ranks: dict[str, float], error: float = 0.01, merged: bool = False) -> DataFrame:
+    """(keys, field, n, one column per rank) of sketches, which are merged first unless they are ``merged`` already.
+
+    Counts are combined in the map tasks and by bucket before the buckets of a group, as many as its range needs, meet.
 
     A percentile q is the value of rank ``max(1, ceil(q n))``, answered with a relative error of at most ``error`` of that
     value; zero and the infinities are exact. Null keys are groups of their own. A group without values has no row; an
@@ -63,7 +65,7 @@ def percentiles(sketches: DataFrame, keys: list[str], ranks: dict[str, float], e
     """
     group = Window.partitionBy(*keys, "field")
     ordered = group.orderBy("bucket")
-    upto = merge(sketches.repartition(*keys, "field"), keys).withColumn("_c", F.sum("n").over(ordered)).withColumn("_t", F.sum("n").over(group))
+    upto = (sketches if merged else merge(sketches, keys)).withColumn("_c", F.sum("n").over(ordered)).withColumn("_t", F.sum("n").over(group))
     found = [
         F.min(F.when(F.col("_c") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_t"))), F.col("bucket"))).alias(name) for name, q in ranks.items()
     ]

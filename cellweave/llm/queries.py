@@ -57,9 +57,10 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of each stack and padded_size: of every day (scope ``day``) and, by adding the days' buckets, of all (``all``)."""
     features = _table(spark, folder, "features")
     days = percentiles.sketch(features, ["stack", "padded_size", F.to_date("extracted_at").alias("day")], P1_FIELDS, P1_ERROR)
-    scopes = F.array(F.struct(F.lit("day").alias("scope"), F.col("day").alias("d")), F.struct(F.lit("all").alias("scope"), F.lit(None).cast("date").alias("d")))
-    both = days.select("stack", "padded_size", "field", "bucket", "n", F.explode(scopes).alias("s")).select("s.scope", "stack", "padded_size", F.col("s.d").alias("day"), "field", "bucket", "n")
-    found = percentiles.percentiles(both, ["scope", "stack", "padded_size", "day"], P1_RANKS, P1_ERROR)
+    whole = percentiles.merge(days, ["stack", "padded_size"])
+    by_day = percentiles.percentiles(days, ["stack", "padded_size", "day"], P1_RANKS, P1_ERROR, merged=True).withColumn("scope", F.lit("day"))
+    by_all = percentiles.percentiles(whole, ["stack", "padded_size"], P1_RANKS, P1_ERROR, merged=True).withColumns({"scope": F.lit("all"), "day": F.lit(None).cast("date")})
+    found = by_day.unionByName(by_all)
     return found.select("scope", "stack", "padded_size", "day", "field", "n", *[F.round(r, 6).alias(r) for r in P1_RANKS])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.runs import map_sorted_runs
+from ..operators.skew import lookup
 from ..session import stage
 
 # Fixed value: the pattern that splits text before the merges of byte_bpe_50k.
@@ -126,11 +127,12 @@ class Encoder:
         return out + self.encode(pending)
 
 
-def encode_corpus(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", mean: int = 512) -> DataFrame:
+def encode_corpus(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", mean: int = 512, hot: int = 50_000) -> DataFrame:
     """(doc_id, ids): the ids of every text, special tokens' strings being ordinary text; one row per input row.
 
     Texts are cut into content-defined chunks, each distinct chunk is encoded once, and the chunk joins of every text are
-    repaired until exact. Chunks are compared by a 128-bit digest, and only ids travel on: a chunk's text follows from them. Null and empty texts give an empty list; repeated rows
+    repaired until exact. Chunks are compared by a 128-bit digest, and only ids travel on: a chunk's text follows from them. The ids of a chunk
+    that stands in more than ``hot`` places are broadcast, so boilerplate is no hot key. Null and empty texts have no chunk and give an empty list; repeated rows
     and null or repeated doc_ids keep their rows; an empty table gives none. The vocabulary is read by the driver and sent
     along (under 1 MB for byte_bpe_50k).
     """
@@ -145,7 +147,7 @@ def encode_corpus(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
             for i, t in enumerate(batch.column("t").to_pylist()):
                 at = 0
                 for p, e in enumerate(chunk_ends(t, mean) or [0]):
-                    line.append(i), pos.append(p), chunk.append(t[at:e]), key.append(hashlib.blake2b(t[at:e].encode(), digest_size=16).digest())
+                    line.append(i), pos.append(p), chunk.append(t[at:e]), key.append(hashlib.blake2b(t[at:e].encode(), digest_size=16).digest() if e else None)
                     at = e
             take = pa.array(line, pa.int32())
             own = [batch.column(c).take(take) for c in ("row", "d")]
@@ -162,8 +164,8 @@ def encode_corpus(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
         for batch in batches:
             done = [e.chunk(t) for t in batch.column("chunk").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([d[0] for d in done], pa.list_(pa.int32())), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())],
-                names=["key", "ids", "tail", "tail_ids"],
+                [batch.column("key"), batch.column("n"), pa.array([d[0] for d in done], pa.list_(pa.int32())), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())],
+                names=["key", "n", "ids", "tail", "tail_ids"],
             )
 
     def repair(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -174,11 +176,13 @@ def encode_corpus(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
             part = table.slice(some[0], end - some[0])
             ids, tail, tail_ids = (part.column(c).to_pylist() for c in ("ids", "tail", "tail_ids"))
             cuts = [*(some - some[0]).tolist(), part.num_rows]
-            out = [e.join(list(zip(ids[i:j], tail[i:j], tail_ids[i:j], strict=True))) for i, j in zip(cuts, cuts[1:], strict=False)]
+            out = [e.join(list(zip(ids[i:j], tail[i:j], tail_ids[i:j], strict=True))) if ids[i] is not None else [] for i, j in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([part.column("d").combine_chunks().take(pa.array(cuts[:-1])), pa.array(out, pa.list_(pa.int32()))], names=["d", "ids"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     chunks = stage(numbered.mapInArrow(cut, f"row long, d {id_type}, pos int, key binary, chunk string"), "chunks")
-    encoded = chunks.select("key", "chunk").dropDuplicates(["key"]).mapInArrow(encode, "key binary, ids array<int>, tail int, tail_ids int")
-    placed = chunks.select("row", "d", "pos", "key").join(encoded, "key").select("row", "d", "pos", "ids", "tail", "tail_ids")
+    distinct = chunks.where("key IS NOT NULL").groupBy("key").agg(F.any_value("chunk").alias("chunk"), F.count("*").alias("n"))
+    encoded = stage(distinct.mapInArrow(encode, "key binary, n long, ids array<int>, tail int, tail_ids int"), "encoded")
+    heavy = encoded.where(F.col("n") > hot)  # at most one for every ``hot`` chunks
+    placed = lookup(chunks.select("row", "d", "pos", "key"), encoded.drop("n"), "key", heavy).select("row", "d", "pos", "ids", "tail", "tail_ids")
     return map_sorted_runs(placed, ["row"], ["pos"], repair, f"d {id_type}, ids array<int>", rows=4_000).withColumnRenamed("d", doc_id)

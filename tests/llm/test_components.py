@@ -60,3 +60,16 @@ def test_structure_names(spark):
     }
     df = spark.createDataFrame([(k,) for k in names], "n string").select("n", structure_of(F.col("n")).alias("s"))
     assert {r.n: r.s for r in df.collect()} == names
+
+
+def test_hubs_and_giant_groups(spark):
+    pairs = [(0, i) for i in range(1, 400)] + [(i, 1_000 + i) for i in range(1, 50)] + [(5_000, 5_001)]
+    groups = defaultdict(set)
+    for r in components(spark.createDataFrame(pairs, "a long, b long"), small=2, hub=20).collect():
+        groups[r.component].add(r.node)
+    assert {frozenset(g) for g in groups.values()} == brute(pairs)
+    rows = [(i, "all" if i % 3 == 0 else f"k{i}", f"s{i // 2}") for i in range(300)]
+    got = {r.i: r.group_id for r in group_records(spark.createDataFrame(rows, "i long, a string, b string"), "i", [F.col("a"), F.col("b")], hot=20).collect()}
+    links = [((0, a), (1, b)) for _, a, b in rows]
+    want = {n: g for g in brute(links) for n in g}
+    assert len(got) == 300 and all((got[i] == got[j]) == (want[0, rows[i][1]] is want[0, rows[j][1]]) for i in range(0, 300, 7) for j in range(300))
