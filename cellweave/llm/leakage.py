@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import bisect
 import html
+import itertools
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,9 +25,7 @@ _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 
 
 def _plain(text: str) -> str:
-    for _ in range(3):  # entities may be escaped again
-        if "&" not in text:
-            break
+    while "&" in text:  # entities may be escaped again, however often
         once = html.unescape(text)
         if once == text:
             break
@@ -45,52 +45,68 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(_SILENT.sub("", t))
 
 
-def passages_of(items: list[tuple[int, str]], least: int) -> dict[str, list[int]]:
-    """Every run of ``least`` words of an item, written without spaces, with the items that hold it."""
-    found: dict[str, set[int]] = {}
-    for item, text in items:
-        w = words_of(text or "")
-        for i in range(len(w) - least + 1):
-            found.setdefault("".join(w[i : i + least]), set()).add(item)
-    return {k: sorted(v) for k, v in found.items()}
+class Passages:
+    """One Aho-Corasick automaton for all items: of every item the blocks of ``least`` / 2 words that begin at its every such word.
 
+    A run of ``least`` words of an item holds at least one whole block, wherever it begins, so a text without a block shares
+    no run. Words are joined without spaces, so one that a line break cut, with a hyphen or without, is itself again.
+    """
 
-def automaton_of(passages: dict[str, list[int]]):
-    import ahocorasick
+    def __init__(self, items: list[tuple[int, str]], least: int):
+        import ahocorasick
+
+        self.least, self.joined, self.bounds = least, {}, {}
+        size = max(1, (least + 1) // 2)
+        places: dict[str, list[tuple[int, int]]] = {}
+        for item, text in items:
+            w = words_of(text or "")
+            if len(w) < least:
+                continue
+            at = [0]
+            for x in w:
+                at.append(at[-1] + len(x))
+            self.joined[item], self.bounds[item] = "".join(w), at
+            for i in range(0, len(w) - size + 1, size):
+                places.setdefault("".join(w[i : i + size]), []).append((item, at[i]))
+        self.automaton = ahocorasick.Automaton()
+        for block, where in places.items():
+            self.automaton.add_word(block, (len(block), where))
+        if places:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str) -> dict[int, tuple[int, int]]:
+        """item -> (first, last word) in ``text`` of a run that it shares: at least ``least`` words of the item that begin where a word of the text begins and end where one ends."""
+        found: dict[int, tuple[int, int]] = {}
+        if not len(self.automaton):
+            return found
+        w = words_of(text)
+        if not w:
+            return found
+        ends = list(itertools.accumulate(map(len, w)))
+        begins = {0: 0} | {e: i + 1 for i, e in enumerate(ends)}
+        joined = "".join(w)
+        for last, (size, where) in self.automaton.iter(joined):
+            for item, place in where:
+                if item not in found:
+                    run = self._run(item, place, last + 1 - size, size, joined, begins)
+                    if run:
+                        found[item] = run
+        return found
 
-    a = ahocorasick.Automaton()
-    for p, items in passages.items():
-        a.add_word(p, (len(p), items))
-    if passages:
-        a.make_automaton()
-    return a
+    def _run(self, item: int, place: int, at: int, size: int, joined: str, begins: dict[int, int]) -> tuple[int, int] | None:
+        """The longest shared run around a block: the block stands at ``place`` of the item and at ``at`` of the text."""
+        own, bounds, shift = self.joined[item], self.bounds[item], at - place
+        low = place - _common(own[:place][::-1], joined[max(0, at - place) : at][::-1])
+        rest = place + size
+        high = rest + _common(own[rest:], joined[at + size : at + size + len(own) - rest])
+        first = next((i for i in range(bisect.bisect_left(bounds, low), len(bounds)) if bounds[i] + shift in begins), len(bounds))
+        last = next((i for i in range(bisect.bisect_right(bounds, high) - 1, -1, -1) if bounds[i] + shift in begins), -1)
+        return (begins[bounds[first] + shift], begins[bounds[last] + shift] - 1) if last - first >= self.least else None
 
 
-def scan(automaton, text: str) -> dict[int, tuple[int, int]]:
-    """item -> (first, last word) of its first passage in ``text``.
-
-    Words are joined without spaces, so a word that a line break cut, with a hyphen or without, is itself again; a
-    passage counts if it begins where a word of the text begins and ends where one ends.
-    """
-    w = words_of(text)
-    found: dict[int, tuple[int, int]] = {}
-    if not w or not len(automaton):
-        return found
-    ends, at = [], 0
-    for x in w:
-        at += len(x)
-        ends.append(at)
-    for last, (size, items) in automaton.iter("".join(w)):
-        end, begin = last + 1, last + 1 - size
-        e = bisect.bisect_left(ends, end)
-        if ends[e] != end:
-            continue
-        b = bisect.bisect_left(ends, begin) if begin else -1
-        if begin and ends[b] != begin:
-            continue
-        for item in items:
-            found.setdefault(item, (b + 1, e))
-    return found
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    return len(os.path.commonprefix([a, b]))
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
@@ -111,39 +127,36 @@ def word_offsets(text: str) -> list[tuple[int, int]]:
 
 
 def leaked_items(
-    docs: DataFrame, items: DataFrame, least: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = 20_000
+    docs: DataFrame, items: DataFrame, least: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_bytes: int = 64 << 20
 ) -> DataFrame:
-    """(doc_id, item_id, begin, end): items that share at least ``least`` consecutive words with a text, and where the first shared run stands in it.
+    """(doc_id, item_id, begin, end): items that share at least ``least`` consecutive words with a text, and where a shared run stands in it.
 
-    The items' runs of words are one automaton, sent to all tasks, which scan every text once; nothing is shuffled. Places are null where markup is so nested that words can't be placed. More
-    than ``block`` items are taken ``block`` at a time, so no more than that is ever sent. Null and empty texts and items
-    shorter than ``least`` words match nothing; null ids are no ids; repeated rows are reported once each; empty tables
-    give no rows; extra columns are ignored.
+    The items' texts, whose size is checked against ``most_bytes`` before anything is sent (``ValueError`` beyond), go to all
+    tasks; each makes the one automaton of them and scans every text once, whole. Nothing is shuffled. Places are null where
+    markup is so nested that words can't be placed. Null and empty texts and items shorter than ``least`` words match
+    nothing; null ids are no ids; repeated rows are reported once each; empty tables give no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
-    wanted = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, -(-wanted.count() // block))
+    wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"the evaluation texts have {size} bytes, more than {most_bytes}")
+    held = spark.sparkContext.broadcast({"items": [tuple(r) for r in wanted.collect()]})  # at most most_bytes
     source = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    found = None
-    for k in range(blocks):
-        some = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else wanted
-        held = spark.sparkContext.broadcast({"passages": passages_of([tuple(r) for r in some.collect()], least)})
-
-        def look(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            mine = held.value  # kept by the worker, and the automaton with it
-            if "automaton" not in mine:
-                mine["automaton"] = automaton_of(mine["passages"])
-            for batch in batches:
-                rows = []
-                for d, t in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                    hits = scan(mine["automaton"], t)
-                    if hits:
-                        at = word_offsets(t)
-                        sure = len(at) == len(words_of(t))
-                        rows += [(d, i, at[b][0] if sure else None, at[e][1] if sure else None) for i, (b, e) in hits.items()]
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "begin", "end"])
-
-        part = source.mapInArrow(look, "doc_id long, item_id long, begin int, end int")
-        found = part if found is None else found.unionByName(part)
-    return found
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = held.value  # kept by the worker, and the automaton with it
+        if "passages" not in mine:
+            mine["passages"] = Passages(mine["items"], least)
+        for batch in batches:
+            rows = []
+            for d, t in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                hits = mine["passages"].scan(t)
+                if hits:
+                    at = word_offsets(t)
+                    sure = len(at) == len(words_of(t))
+                    rows += [(d, i, at[b][0] if sure else None, at[e][1] if sure else None) for i, (b, e) in hits.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "begin", "end"])
+
+    return source.mapInArrow(look, "doc_id long, item_id long, begin int, end int")

@@ -56,7 +56,7 @@ FROM b GROUP BY scope, stack, padded_size, day, field, n
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of each stack and padded_size: of every day (scope ``day``) and, by adding the days' buckets, of all (``all``)."""
     features = _table(spark, folder, "features")
-    days = percentiles.sketch(features, ["stack", "padded_size", F.to_date("extracted_at").alias("day")], P1_FIELDS, P1_ERROR)
+    days = stage(percentiles.sketch(features, ["stack", "padded_size", F.to_date("extracted_at").alias("day")], P1_FIELDS, P1_ERROR), "days")
     whole = percentiles.merge(days, ["stack", "padded_size"])
     by_day = percentiles.percentiles(days, ["stack", "padded_size", "day"], P1_RANKS, P1_ERROR, merged=True).withColumn("scope", F.lit("day"))
     by_all = percentiles.percentiles(whole, ["stack", "padded_size"], P1_RANKS, P1_ERROR, merged=True).withColumns({"scope": F.lit("all"), "day": F.lit(None).cast("date")})
