@@ -105,3 +105,10 @@ def test_far_points_join_no_centre(spark):
     rows = [(i, 1, 5, 100, 100, 100, 100) for i in range(5)] + [(9, 1, 1, 100, 100, 1 << 29, 100)]
     at = spark.createDataFrame(rows, "id long, n long, degree long, e0 long, e1 long, e2 long, e3 long")
     assert {r.id: r.centre for r in embedding_kmeans(at, 5).collect()} == {i: 0 for i in range(5)}
+
+
+def test_members_of_a_clique_keep_equal_values(spark):
+    sizes = [1 + i % 7 for i in range(60)]
+    nodes = spark.createDataFrame(list(enumerate(sizes)), "id long, n long")
+    links = spark.createDataFrame([(a, b, sizes[b]) for a in range(60) for b in range(60) if a != b], "a long, b long, w long")
+    assert power_iterate(nodes, links.repartition(7)).select("e0", "e1", "e2", "e3").distinct().count() == 1
