@@ -7,6 +7,7 @@ NaN are no values.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,7 +124,7 @@ def ks(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     both = a.select(*keys, "v", F.lit(1).alias("ia"), F.lit(0).alias("ib")).unionByName(b.select(*keys, "v", F.lit(0).alias("ia"), F.lit(1).alias("ib")))
     steps = both.groupBy(*keys, "v").agg(F.sum("ia").alias("ca"), F.sum("ib").alias("cb"))
     sizes = steps.groupBy(*keys).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb")).where("na > 0 AND nb > 0")
-    at = global_prefix(global_prefix(steps, [*keys, "v"], "ca", "pa"), [*keys, "v"], "cb", "pb")
+    at = global_prefix(steps, [*keys, "v"], "ca", "pa", {"pb": "cb"})
     base = at.groupBy(*keys).agg(F.min("pa").alias("ba"), F.min("pb").alias("bb"))
     height = lambda p, b, c, n: (F.col(p) - F.col(b) + F.col(c)) / F.col(n)
     gap = F.abs(height("pa", "ba", "ca", "na") - height("pb", "bb", "cb", "nb"))
@@ -138,6 +139,31 @@ def ks_p_value(d: Column, na: Column, nb: Column, terms: int = 100) -> Column:
     return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), F.when(x < 0.2, F.lit(1.0)).otherwise(series)))
 
 
+def ks_combined(tests: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
+    """(keys, product, total, top, largest) of the features' statistics (keys, feature, d, na, nb): the product of 1 - p, the sum of -ln p, that of the ``top`` largest -ln p, and the largest d."""
+    p = tests.withColumn("_p", ks_p_value(F.col("d"), F.col("na"), F.col("nb"))).withColumn("_s", -F.ln("_p"))
+    best = F.aggregate(F.slice(F.sort_array(F.collect_list("_s"), asc=False), 1, top), F.lit(0.0), lambda a, b: a + b)
+    return p.groupBy(*keys).agg(F.product(1 - F.col("_p")).alias("product"), F.sum("_s").alias("total"), best.alias("top"), F.max("d").alias("largest"))
+
+
+def ks_normal(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, d, n): one-sample statistic of each group against the normal distribution of its own mean and deviation; groups without spread have none."""
+    fit = values.groupBy(*keys).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    at = ecdf(values, keys).join(fit, keys).where("_s > 0").withColumn("_c", normal_cdf((F.col("v") - F.col("_m")) / F.col("_s")))
+    gap = F.greatest(F.abs(F.col("less") / F.col("n") - F.col("_c")), F.abs((F.col("less") + F.col("copies")) / F.col("n") - F.col("_c")))
+    return at.groupBy(*keys).agg(F.max(gap).alias("d"), F.first("n").alias("n"))
+
+
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution by the fifth-degree approximation of Abramowitz and Stegun (26.2.17, error below 7.5e-8)."""
+    # Its coefficients.
+    b = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    series = t * (b[0] + t * (b[1] + t * (b[2] + t * (b[3] + t * b[4]))))
+    upper = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series
+    return F.when(z >= 0, 1 - upper).otherwise(upper)
+
+
 def interpolated_heights(a: DataFrame, b: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
     """(keys, v, y): like ``merged_heights``, with the second distribution's height interpolated between its neighbours of ``v``.
 

@@ -66,14 +66,19 @@ def ring_split(points: DataFrame, regions: DataFrame, by: list[str], margin: flo
     return pairs.withColumn("polarity", F.when(within, F.lit("positive")).when(near, F.lit("negative"))).where("polarity IS NOT NULL").drop("left", "right", "up", "down")
 
 
-def overlaps(boxes: DataFrame, plane: list[str], name: str) -> DataFrame:
+def overlaps(boxes: DataFrame, plane: list[str], name: str, cell: int = 1024) -> DataFrame:
     """(plane, a, b): pairs of boxes of one plane that overlap in open intervals of x and y, a < b.
 
-    Boxes carry left, right, up, down. The join is on the plane and the range conditions follow.
+    Boxes carry left, right, up, down. A box has a row for every grid cell it touches, boxes of one cell meet by an
+    equi-join, and a pair is reported in the cell of its overlap's upper left corner only.
     """
-    other = boxes.select(*plane, *[F.col(c).alias(f"{c}2") for c in (name, "left", "right", "up", "down")])
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    span = lambda a, b: F.explode(F.sequence(at(a), at(b)))
+    placed = boxes.where("left <= right AND up <= down").withColumn("_cx", span("left", "right")).withColumn("_cy", span("up", "down"))
+    other = placed.select(*plane, "_cx", "_cy", *[F.col(c).alias(f"{c}2") for c in (name, "left", "right", "up", "down")])
     meet = (F.col(name) < F.col(f"{name}2")) & (F.col("left") < F.col("right2")) & (F.col("left2") < F.col("right")) & (F.col("up") < F.col("down2")) & (F.col("up2") < F.col("down"))
-    return boxes.join(other, plane).where(meet).select(*plane, F.col(name).alias("a"), F.col(f"{name}2").alias("b"))
+    here = (F.floor(F.greatest("left", "left2") / cell) == F.col("_cx")) & (F.floor(F.greatest("up", "up2") / cell) == F.col("_cy"))
+    return placed.join(other, [*plane, "_cx", "_cy"]).where(meet & here).select(*plane, F.col(name).alias("a"), F.col(f"{name}2").alias("b"))
 
 
 def shift_counts(points: DataFrame, regions: DataFrame, by: list[str], offsets: list[tuple[int, int]], keys: list[str], value: Column | None = None) -> DataFrame:

@@ -38,8 +38,9 @@ def stratified_files(df: DataFrame, source: str, key: str, files: int, rows: int
 
 
 def permute(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """All rows in an order that depends on the seed only: a range shuffle by hash and a sort within partitions."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), key)).repartitionByRange("_h").sortWithinPartitions("_h", key).drop("_h")
+    """All rows with ``pos``, their place (from 0) in an order that depends on the seed only, and sorted by it within range partitions."""
+    placed = global_prefix(df.withColumn("_h", order_key(key, seed)), ["_h", key], F.lit(1), "pos")
+    return placed.repartitionByRange("pos").sortWithinPartitions("pos").drop("_h")
 
 
 def every_kth(df: DataFrame, source: str, key: str, most: int) -> DataFrame:

@@ -129,3 +129,18 @@ def autocorrelation(df: DataFrame, keys: list[str], position: str, value: str, l
     z = base.join(norm, keys).where("_d > 0").select(*keys, "_p", ((F.col("_v") - F.col("_m")) / F.col("_d")).alias("_z"))
     ahead = z.select(*keys, F.col("_z").alias("_y"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "_p").select(*keys, "_y", "lag", (F.col("_p") - F.col("lag")).alias("_p"))
     return z.join(ahead, [*keys, "_p"]).groupBy(*keys, "lag").agg(F.avg(F.col("_z") * F.col("_y")).alias("r"), F.count("*").alias("n"))
+
+
+def autocorrelation_volume(df: DataFrame, keys: list[str], axes: list[str], value: str, reach: list[tuple[int, int]]) -> DataFrame:
+    """(keys, d<axis> …, r, n): correlation of the standardised value with itself at every shift within ``reach`` (low, high) of each axis.
+
+    Every value is written once for each shift and met by an equi-join on its place.
+    """
+    base = df.where(F.col(value).isNotNull()).select(*keys, *axes, F.col(value).cast("double").alias("_v"))
+    norm = base.groupBy(*keys).agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_d"))
+    z = base.join(norm, keys).where("_d > 0").select(*keys, *axes, ((F.col("_v") - F.col("_m")) / F.col("_d")).alias("_z"))
+    ahead = z.select(*keys, *axes, F.col("_z").alias("_y"))
+    for a, (low, high) in zip(axes, reach, strict=True):
+        ahead = ahead.withColumn(f"d{a}", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    moved = ahead.select(*keys, "_y", *[f"d{a}" for a in axes], *[(F.col(a) - F.col(f"d{a}")).alias(a) for a in axes])
+    return z.join(moved, [*keys, *axes]).groupBy(*keys, *[f"d{a}" for a in axes]).agg(F.avg(F.col("_z") * F.col("_y")).alias("r"), F.count("*").alias("n"))

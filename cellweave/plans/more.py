@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog, diffusion, ecdf, grow, learn, patch, sample, stats, vq, windows
-from ..session import fresh_path
+from ..schema import FEATURES
+from ..session import fresh_path, stage
 from ..sources import patches as files
 from ..streaming import events as streams
-from .reference import CELLS, PLANE, REGION_FEATURES, cells, thresholds
+from .reference import CELLS, PLANE, THIN, cells, quantile_thresholds
 from .registry import query, table
 
 # ---------------------------------------------------------------- statistics
@@ -218,11 +221,25 @@ def padded_patches(spark, folder):
     return padded.groupBy("vec_id").agg(F.count("*").alias("pixels"), F.round(F.sum("v"), 4).alias("total"), F.round(F.sum(F.col("v") * F.col("k")), 3).alias("placed"))
 
 
-@query("smooth_patches")
+_GAUSS = [math.exp(-(k * k) / 2) / sum(math.exp(-(j * j) / 2) for j in range(-3, 4)) for k in range(-3, 4)]
+_REFLECT = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+
+
+@query(
+    "smooth_patches",
+    f"""WITH l AS ({_LONG}), g AS (SELECT unnest(range(-3, 4)) AS k, unnest({_GAUSS}) AS w),
+        t AS (SELECT vec_id, i, x, {_REFLECT.format("i // 8 + a.k")} AS y2, {_REFLECT.format("i % 8 + b.k")} AS x2, a.w * b.w AS w FROM l, g a, g b),
+        s AS (SELECT t.vec_id, t.i, any_value(t.x) AS x, sum(t.w * l.x) AS smooth FROM t JOIN l ON l.vec_id = t.vec_id AND l.i = t.y2 * 8 + t.x2 GROUP BY t.vec_id, t.i),
+        e AS (SELECT vec_id, sqrt(avg(abs(x - smooth))) AS error FROM s GROUP BY vec_id),
+        r AS (SELECT vec_id, sum(x * ((i % 8) * 8 + 7 - i // 8 + 1)) AS turned FROM l GROUP BY vec_id)
+        SELECT vec_id, round(error, 6) AS error, error < 0.27 AS kept, round(turned, 4) AS turned, 128 AS bytes FROM e JOIN r USING (vec_id)""",
+)
 def smooth_patches(spark, folder):
-    """Patches with their smoothing error, flip and bytes in half precision."""
-    rows = _patches(spark, folder).select("vec_id", patch.smoothing_error()("embedding").alias("error"), patch.flip_needed(F.col("embedding"), 8).alias("flip"), patch.rotate(8)("embedding", F.lit(90.0)).alias("turned"))
-    return rows.join(files.half_bytes(_patches(spark, folder), "vec_id", "embedding"), "vec_id").select("vec_id", "error", "flip", "turned", F.length("content").alias("bytes"))
+    """Patches with their smoothing error, whether it is small enough to keep them, a weighted sum of the patch turned by 90 degrees, and their bytes in half precision."""
+    rows = _patches(spark, folder).select("vec_id", patch.smoothing_error()("embedding").alias("error"), patch.rotate(8)("embedding", F.lit(90.0)).alias("turned"))
+    weighed = F.aggregate(F.transform("turned", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v)
+    packed = rows.join(files.half_bytes(_patches(spark, folder), "vec_id", "embedding"), "vec_id")
+    return packed.select("vec_id", F.round("error", 6).alias("error"), (F.col("error") < 0.27).alias("kept"), F.round(weighed, 4).alias("turned"), F.length("content").alias("bytes"))
 
 
 @query("codebook")
@@ -232,7 +249,8 @@ def codebook(spark, folder):
 
 @query("code_tuples")
 def code_tuples(spark, folder):
-    books = [vq.quantise(_patches(spark, folder).where(F.col("label") % 2 == k), "vec_id", "embedding", 10, rounds=2, scale=40.0) for k in (0, 1)]
+    """The labels of every patch under 20 codebooks, each learnt on a part of the patches of its own."""
+    books = [vq.quantise(_patches(spark, folder).where(F.pmod(F.xxhash64("vec_id"), F.lit(20)) == k), "vec_id", "embedding", 10, rounds=2, scale=40.0, least=0) for k in range(20)]
     return vq.code_tuples(_patches(spark, folder), [b.select("rep_id", "vector") for b in books], "vec_id", "embedding")
 
 
@@ -287,7 +305,7 @@ def section_batches(spark, folder):
     return distinct.select("stack", "section", F.floor((F.row_number().over(Window.partitionBy("stack").orderBy("section")) - 1) / 32).cast("int").alias("batch"))
 
 
-@query("permuted_cells", "SELECT cell_id, stack FROM features")
+@query("permuted_cells", "SELECT cell_id, stack, row_number() OVER (ORDER BY (cell_id * CAST(48271 AS HUGEINT) + 3 * 69621 + 12345) % 2147483647, cell_id) - 1 AS pos FROM features")
 def permuted_cells(spark, folder):
     return sample.permute(table(spark, folder, "features").select("cell_id", "stack"), "cell_id", 3)
 
@@ -397,16 +415,26 @@ def cell_marks(spark, folder):
 # ---------------------------------------------------------------- streams and learning
 
 
-@query("stream_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query(
+    "stream_tumbling",
+    """WITH m AS (SELECT max(ts) AS last FROM events), o AS (SELECT ts, event_type, value FROM events, m WHERE NOT (event_id % 50 = 0 AND ts < last - INTERVAL 1 DAY))
+       SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM o, m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= last - INTERVAL 10 MINUTE GROUP BY ALL""",
+)
 def stream_tumbling(spark, folder):
-    """Hourly counts by a streaming query that reads the events' file and ends when it is worked off."""
-    schema = table(spark, folder, "events").schema
-    events = streams.event_stream(spark, f"{folder}/events.parquet*", schema) if not folder.endswith("/") else streams.event_stream(spark, f"{folder}events.parquet*", schema)
-    counted = streams.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", late="36500 days")
-    out = fresh_path(spark, "tumbling")
-    query_ = counted.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    done = spark.read.parquet(out)
+    """Hourly counts by a streaming query with a watermark of ten minutes: windows come out when it has passed them, and rows that arrive after that are left out.
+
+    Every fiftieth event that is more than a day old arrives after all others.
+    """
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = events.agg(F.max("ts")).first()[0]
+    held = F.coalesce((F.col("event_id") % 50 == 0) & (F.col("ts") < F.lit(last) - F.expr("INTERVAL 1 DAY")), F.lit(False))
+    inbox = fresh_path(spark, "inbox")
+    out, state = fresh_path(spark, "tumbling"), fresh_path(spark, "stream")
+    for part in (events.where(~held), events.where(held)):  # the same query, run again whenever files have arrived
+        part.write.mode("append").parquet(inbox)
+        counted = streams.windowed_counts(streams.event_stream(spark, inbox, events.schema, 1_000), "1 hour")
+        counted.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(counted.schema).parquet(out)
     return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -417,18 +445,23 @@ def event_sessions(spark, folder):
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("boosted_trees")
-def boosted_trees(spark, folder):
-    """Margins of windows from trees that tell windows of many large cells from others, learnt on every window's vector."""
-    placed = windows.assign(cells(spark, folder).select(*PLANE, "x", "y", *REGION_FEATURES, "width"), 448, 448)
+def _boosted(spark, folder, rounds):
+    placed = windows.assign(cells(spark, folder).select(*PLANE, "x", "y", *FEATURES), 448, 448)
     keys = [*PLANE, "wx", "wy"]
-    vectors = ecdf.region_vector(placed, keys, REGION_FEATURES, thresholds(spark), 448.0 * 448.0)
+    vectors = ecdf.region_vector(placed, keys, FEATURES, quantile_thresholds(spark, folder), 448.0 * 448.0)
     wide = placed.groupBy(*keys).agg(F.avg("width").alias("w"))
     middle = wide.agg(F.percentile_approx("w", 0.5)).first()[0] or 0.0
     samples = vectors.join(wide.select(*keys, (F.col("w") > middle).cast("int").alias("label")), keys).where("label IS NOT NULL")
-    return learn.score(learn.train(samples, rounds=10), samples).select(*keys, "label", F.round("margin", 6).alias("margin"))
+    samples = stage(samples.withColumn("test", F.pmod(F.xxhash64(*keys), F.lit(10)) < 3), "samples")
+    model = learn.train(samples.where("NOT test"), rounds=rounds)
+    return learn.score(model, samples.where("test")).select(*keys, "label", F.round("margin", 6).alias("margin"))
 
 
+@query("boosted_trees")
+def boosted_trees(spark, folder):
+    """Margins, on three tenths of the windows held out, of 100 trees that tell windows of wide cells from others by their 1982 numbers."""
+    return _boosted(spark, folder, 100)
+
 
 # ---------------------------------------------------------------- further maps and curves
 
@@ -463,19 +496,27 @@ def section_autocorrelation(spark, folder):
     return stats.autocorrelation(counts, ["stack"], "section", "v", 5).select("stack", "lag", F.round("r", 9).alias("r"), "n")
 
 
-@query(
-    "interpolated_heights",
-    """WITH f AS (SELECT stack, padded_size, std AS v FROM features WHERE std IS NOT NULL AND NOT isnan(std)),
-       a AS (SELECT stack, v, (min(rn) - 1) / CAST(max(n) AS DOUBLE) AS y FROM (SELECT stack, v, row_number() OVER (PARTITION BY stack ORDER BY v) AS rn, count(*) OVER (PARTITION BY stack) AS n FROM f WHERE padded_size = 15) GROUP BY stack, v),
-       b AS (SELECT stack, v, (min(rn) - 1) / CAST(max(n) AS DOUBLE) AS y FROM (SELECT stack, v, row_number() OVER (PARTITION BY stack ORDER BY v) AS rn, count(*) OVER (PARTITION BY stack) AS n FROM f WHERE padded_size = 51) GROUP BY stack, v),
+_INTERPOLATED = """WITH f AS (SELECT stack, padded_size, std AS v FROM features WHERE std IS NOT NULL AND NOT isnan(std)), {thin},
        m AS (SELECT a.stack, a.v, a.y, max(CASE WHEN b.v <= a.v THEN b.v END) AS px, min(CASE WHEN b.v >= a.v THEN b.v END) AS qx FROM a JOIN b ON a.stack = b.stack GROUP BY a.stack, a.v, a.y)
        SELECT m.stack, m.v, round((m.y + CASE WHEN px IS NULL THEN q.y WHEN qx IS NULL THEN p.y ELSE p.y + coalesce((m.v - px) / nullif(qx - px, 0), 0) * (q.y - p.y) END) / 2, 9) AS y
-       FROM m LEFT JOIN b p ON p.stack = m.stack AND p.v = px LEFT JOIN b q ON q.stack = m.stack AND q.v = qx""",
-)
-def interpolated_heights(spark, folder):
+       FROM m LEFT JOIN b p ON p.stack = m.stack AND p.v = px LEFT JOIN b q ON q.stack = m.stack AND q.v = qx"""
+
+
+def _interpolated(spark, folder, most):
     f = table(spark, folder, "features")
     part = lambda s: ecdf.melt(f.where(F.col("padded_size") == s), ["stack"], ["std"])
-    return ecdf.interpolated_heights(part(15), part(51), ["stack"], most=1_000_000).select("stack", "v", F.round("y", 9).alias("y"))
+    return ecdf.interpolated_heights(part(15), part(51), ["stack"], most).select("stack", "v", F.round("y", 9).alias("y"))
+
+
+@query("interpolated_heights", _INTERPOLATED.format(thin=THIN.format(most=10_000)))
+def interpolated_heights(spark, folder):
+    return _interpolated(spark, folder, 10_000)
+
+
+@query("interpolated_heights_thin", _INTERPOLATED.format(thin=THIN.format(most=40)))
+def interpolated_heights_thin(spark, folder):
+    """The same with a smaller bound, which small tables reach too."""
+    return _interpolated(spark, folder, 40)
 
 
 @query(

@@ -100,11 +100,11 @@ def minmax_rescale(spark, folder):
 
 @query(
     "sigmoid_scores",
-    "SELECT cell_id, round(1 / (1 + exp(-dmvec1)), 6) AS p, CAST(trunc(255 / (1 + exp(-dmvec1))) AS INTEGER) AS grey, CAST(255 - mean AS INTEGER) IS NULL AS blank FROM features WHERE dmvec1 IS NOT NULL",
+    "SELECT cell_id, round(1 / (1 + exp(-dmvec1)), 6) AS p, CAST(trunc(255 / (1 + exp(-dmvec1))) AS INTEGER) AS grey, round(255 - mean, 6) AS inverted FROM features WHERE dmvec1 IS NOT NULL",
 )
 def sigmoid_scores(spark, folder):
     p = select.sigmoid(F.col("dmvec1"))
-    return table(spark, folder, "features").where("dmvec1 IS NOT NULL").select("cell_id", F.round(p, 6).alias("p"), (255 * p).cast("int").alias("grey"), (255 - F.col("mean")).isNull().alias("blank"))
+    return table(spark, folder, "features").where("dmvec1 IS NOT NULL").select("cell_id", F.round(p, 6).alias("p"), (255 * p).cast("int").alias("grey"), F.round(255 - F.col("mean"), 6).alias("inverted"))
 
 
 @query(
@@ -225,6 +225,19 @@ def region_vector(spark, folder):
     return vectors.select(*PLANE, "wx", "wy", F.posexplode("vector").alias("pos", "value")).select(*PLANE, "wx", "wy", "pos", F.round("value", 9).alias("value"))
 
 
+def quantile_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    """(feature, ts): the 99 quantiles of each of the twenty features over all cells."""
+    found = ecdf.quantiles(ecdf.melt(cells(spark, folder), [], FEATURES), ["feature"], _LEVELS)
+    return found.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda e: e.v).alias("ts"))
+
+
+@query("region_vector_full")
+def region_vector_full(spark, folder):
+    """The vector of every 448-pixel window over all features and their 99 quantiles: 1980 heights, density, share of area."""
+    placed = windows.assign(cells(spark, folder).select(*PLANE, "x", "y", *FEATURES), 448, 448)
+    return ecdf.region_vector(placed, [*PLANE, "wx", "wy"], FEATURES, quantile_thresholds(spark, folder), 448.0 * 448.0)
+
+
 @query(
     "quantile_nearest",
     """WITH r AS (SELECT padded_size, std AS v, row_number() OVER (PARTITION BY padded_size ORDER BY std) - 1 AS i, count(*) OVER (PARTITION BY padded_size) AS n FROM features WHERE std IS NOT NULL AND NOT isnan(std)),
@@ -236,18 +249,31 @@ def quantile_nearest(spark, folder):
     return ecdf.quantiles(ecdf.melt(table(spark, folder, "features"), ["padded_size"], ["std"]), ["padded_size"], _LEVELS)
 
 
-@query(
-    "merged_heights",
-    """WITH f AS (SELECT stack, padded_size, std AS v FROM features WHERE std IS NOT NULL AND NOT isnan(std)),
-       a AS (SELECT stack, v, (min(rn) - 1) / CAST(max(n) AS DOUBLE) AS y FROM (SELECT stack, v, row_number() OVER (PARTITION BY stack ORDER BY v) AS rn, count(*) OVER (PARTITION BY stack) AS n FROM f WHERE padded_size = 15) GROUP BY stack, v),
-       b AS (SELECT stack, v, (min(rn) - 1) / CAST(max(n) AS DOUBLE) AS y FROM (SELECT stack, v, row_number() OVER (PARTITION BY stack ORDER BY v) AS rn, count(*) OVER (PARTITION BY stack) AS n FROM f WHERE padded_size = 51) GROUP BY stack, v),
+# distributions of both size classes with every k-th row, k = n / most
+THIN = """ed AS (SELECT stack, padded_size, v, count(*) AS copies FROM f WHERE padded_size IN (15, 51) GROUP BY stack, padded_size, v),
+       el AS (SELECT *, sum(copies) OVER (PARTITION BY stack, padded_size ORDER BY v) - copies AS less, sum(copies) OVER (PARTITION BY stack, padded_size) AS n FROM ed),
+       et AS (SELECT stack, padded_size, v, less / CAST(n AS DOUBLE) AS y FROM (SELECT *, greatest(1, n // {most}) AS k FROM el) WHERE ceil(less / CAST(k AS DOUBLE)) * k < less + copies),
+       a AS (SELECT stack, v, y FROM et WHERE padded_size = 15), b AS (SELECT stack, v, y FROM et WHERE padded_size = 51)"""
+_MERGED = """WITH f AS (SELECT stack, padded_size, std AS v FROM features WHERE std IS NOT NULL AND NOT isnan(std)), {thin},
        m AS (SELECT a.stack, a.v, a.y AS ya, b.y AS yb, row_number() OVER (PARTITION BY a.stack, a.v ORDER BY abs(a.v - b.v), b.v) AS k FROM a JOIN b ON a.stack = b.stack)
-       SELECT stack, v, round((ya + yb) / 2, 9) AS y FROM m WHERE k = 1""",
-)
-def merged_heights(spark, folder):
+       SELECT stack, v, round((ya + yb) / 2, 9) AS y FROM m WHERE k = 1"""
+
+
+def _merged(spark, folder, most):
     f = table(spark, folder, "features")
     part = lambda s: ecdf.melt(f.where(F.col("padded_size") == s), ["stack"], ["std"])
-    return ecdf.merged_heights(part(15), part(51), ["stack"], most=1_000_000).where("y IS NOT NULL").select("stack", "v", F.round("y", 9).alias("y"))
+    return ecdf.merged_heights(part(15), part(51), ["stack"], most).where("y IS NOT NULL").select("stack", "v", F.round("y", 9).alias("y"))
+
+
+@query("merged_heights", _MERGED.format(thin=THIN.format(most=10_000)))
+def merged_heights(spark, folder):
+    return _merged(spark, folder, 10_000)
+
+
+@query("merged_heights_thin", _MERGED.format(thin=THIN.format(most=40)))
+def merged_heights_thin(spark, folder):
+    """The same with a smaller bound, which small tables reach too."""
+    return _merged(spark, folder, 40)
 
 
 _KS = """{w} u AS (SELECT DISTINCT stack, v FROM (SELECT stack, v FROM a UNION ALL SELECT stack, v FROM b)),

@@ -5,8 +5,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from cellweave.llm import clusters
 from cellweave.operators import geometry, grow
+from cellweave.plans import more, reference  # noqa: F401  # they fill the registry
 from cellweave.plans.registry import QUERIES
 from cellweave.schema import FEATURES
 
@@ -84,10 +84,3 @@ def test_small_brains_get_their_share_of_the_files(spark, tmp_path):
         share = math.floor(len(own) / 3000 * 100_000)
         want |= {(i, stack, k // share) for k, i in enumerate(own) if share and k // share < 20}
     assert got == want and {s for _, s, _ in got} == {"small", "large"}
-
-
-def test_members_of_a_clique_keep_equal_values(spark):
-    sizes = [1 + i % 7 for i in range(60)]
-    nodes = spark.createDataFrame(list(enumerate(sizes)), "id long, n long")
-    links = spark.createDataFrame([(a, b, sizes[b]) for a in range(60) for b in range(60) if a != b], "a long, b long, w long")
-    assert clusters.power_iterate(nodes, links.repartition(7)).select("e0", "e1").distinct().count() == 1

@@ -159,7 +159,7 @@ def test_samples(spark):
     got = sample.stratified_files(df, "s", "i", 2, 30).collect()
     assert sorted((r.s, r.file) for r in got) == sorted([("a", k) for k in (0, 1)] * 20 + [("b", k) for k in (0, 1)] * 10)
     assert len({r.i for r in got}) == 60
-    assert sorted(r.i for r in sample.permute(df, "i").collect()) == list(range(90))
+    assert [r.pos for r in sample.permute(df, "i").collect()] == list(range(90))
     assert sample.per_group(df, ["s"], "i", 7).groupBy("s").count().where("count = 7").count() == 2
     assert [r.i for r in sample.every_kth(df, "s", "i", 20).orderBy("i").collect() if r.s == "a"] == list(range(0, 60, 3))
     drawn = sample.proportional_draws(df, "s", "i", 30).collect()
@@ -237,3 +237,69 @@ def test_interpolation_and_owners(spark):
     assert got == {1: (5, 5)}
     r = stats.autocorrelation(spark.createDataFrame([(1, i, float(i % 2)) for i in range(10)] + [(2, 1, 3.0)], "k int, p int, v double"), ["k"], "p", "v", 2).collect()
     assert {(x.lag, round(x.r, 9), x.n) for x in r} == {(0, 1.0, 10), (1, -1.0, 9), (2, 1.0, 8)}
+
+
+def test_seeding_scale_changes_on_every_row():
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, (400, 3))
+    draw, reps, scale = np.random.default_rng(7), [v[0]], 5.0
+    for row in v[1:]:
+        if len(reps) >= 40:
+            break
+        p = min(min(((row - r) ** 2).sum() for r in reps), 100_000.0) / scale
+        if draw.random() < p:
+            reps.append(row)
+        scale = scale * 2 if p > 0.5 else max(1.0, scale - 1)
+    assert np.array_equal(vq.seed(v, 40, scale=5.0, rng=np.random.default_rng(7)), np.array(reps))
+
+
+def test_normalised_patch_by_a_plain_loop(spark):
+    side, patches = 9, np.random.default_rng(5).gamma(1.0, 1.0, (12, 81))
+
+    def moments(m):
+        y, x = np.mgrid[0 : m.shape[0], 0 : m.shape[1]]
+        w = m / m.sum()
+        cx, cy = (w * x).sum(), (w * y).sum()
+        return cx, cy, (w * x * x).sum() - cx * cx, (w * y * y).sum() - cy * cy, (w * x * y).sum() - cx * cy
+
+    def turn(m, degrees):
+        out, c, a = np.zeros_like(m), m.shape[0] // 2, math.radians(degrees)
+        for i in range(m.shape[0]):
+            for j in range(m.shape[0]):
+                x, y = math.cos(a) * (j - c) + math.sin(a) * (i - c) + c, -math.sin(a) * (j - c) + math.cos(a) * (i - c) + c
+                for k in (math.floor(y), math.floor(y) + 1):
+                    for n in (math.floor(x), math.floor(x) + 1):
+                        if 0 <= k < m.shape[0] and 0 <= n < m.shape[0]:
+                            out[i, j] += m[k, n] * (1 - abs(y - k)) * (1 - abs(x - n))
+        return out
+
+    def upright(m, mask):
+        _, _, xx, yy, xy = moments(m)
+        confidence = abs((xx - yy) / xy) if xy else 0
+        part = 0.5 - math.atan(2 * xy / (xx - yy)) / math.pi if confidence > 0.1 else 0
+        angle = ((part - 1 if part > 0.5 else part) + np.sign(xy) / 2) * 90
+        out = turn(m, angle) * mask
+        cx, cy, *_ = moments(out)
+        dx, dy = cx - m.shape[0] // 2, cy - m.shape[0] // 2
+        return (out[::-1, ::-1] if (dx < 0 if abs(dx) > abs(dy) else dy < 0) else out), angle, confidence
+
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(patches)] + [(99, None)], "i int, p array<double>")
+    got = {r.i: r.n for r in df.select("i", patch.normalise()("p").alias("n")).collect()}
+    assert got[99].padded_size is None and got[99].rotation is None
+    for i, p in enumerate(patches):
+        m = p.reshape(side, side)
+        cx, cy, *_ = moments(m)
+        x, y = round(cx), round(cy)
+        r = math.ceil(max(math.hypot(a, b) for a in (x, side - x) for b in (y, side - y)))
+        circle = np.zeros((2 * r + 1, 2 * r + 1))
+        circle[r - y : r - y + side, r - x : r - x + side] = m
+        off = np.arange(-r, r + 1)
+        mask = np.hypot(off[:, None], off[None]) < r + 0.1
+        once, a, _ = upright(circle / circle.std(), mask)
+        twice, b, confidence = upright(once, mask)
+        _, _, xx, yy, _ = moments(twice)
+        to = min(s for s in (15, 51, 201) if 2 * r + 1 < s)
+        n = got[i]
+        assert n.padded_size == to and np.allclose([n.rotation, n.rotation_confidence, n.horiz_std, n.vert_std, n.mean, n.std], [a + b, confidence, xx**0.5, yy**0.5, circle.mean(), circle.std()], rtol=1e-6)
+        at = (to - 2 * r - 1) // 2
+        assert np.allclose(np.array(n.padded_patch).reshape(to, to)[at : to - at, at : to - at], twice, atol=1e-6)
