@@ -35,6 +35,16 @@ def override(layers: list[DataFrame], key: list[str]) -> DataFrame:
     return best.select(*key, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
 
 
+def held(log: DataFrame, key: list[str], now: DataFrame, stale: str, order: list[str]) -> DataFrame:
+    """Keys that no worker may take: the last entry of their log (key, status, ts) by ``order`` is an error, is done, or is a reservation not older than ``stale``.
+
+    ``now`` is one row (now). Stale reservations are free again without being deleted.
+    """
+    last = log.groupBy(*key).agg(F.max_by(F.struct("status", "ts"), F.struct(*order)).alias("l")).select(*key, "l.status", "l.ts")
+    fresh = F.col("ts") >= F.col("now") - F.expr(f"INTERVAL {stale}")
+    return last.join(now, how="cross").where(F.col("status").isin("error", "done") | fresh).select(*key)
+
+
 def fetch_one(df: DataFrame, column: str):
     """The value of ``column`` in the only row; anything but one row is an error."""
     rows = df.select(column).limit(2).collect()
@@ -94,3 +104,21 @@ class Catalog:
         made = stage(t.make(parent.join(todo, t.key, "left_semi")), "made")
         made.write.mode("append").parquet(self.path(name))
         return todo.count()
+
+    def size(self, name: str) -> int:
+        """Bytes of a table on disk."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+    def drop(self, name: str) -> None:
+        """Remove a table and its declaration; one that another is computed from is refused."""
+        if any(t.parent == name for t in self.tables.values()):
+            raise ValueError(f"{name} is the parent of another table")
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        del self.tables[name]
+
+    def delete(self, name: str, keys: DataFrame) -> None:
+        """Remove the rows of the given keys; the rest is written anew and put in the old one's place."""
+        rest = stage(self.read(name).join(keys.select(*self.tables[name].key).distinct(), self.tables[name].key, "left_anti"), "rest")
+        rest.write.mode("overwrite").parquet(self.path(name))

@@ -70,7 +70,7 @@ def proportional_draws(df: DataFrame, source: str, key: str, draws: int, seed: i
     sizes = df.groupBy(source).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 1
     bands = global_prefix(sizes, [source], "n", "lo").select(source, (F.col("lo") / total).alias("lo"), ((F.col("lo") + F.col("n")) / total).alias("hi"))
-    picks = spark.range(draws).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
+    picks = spark.range(draws).select(F.col("id").alias("draw"), (order_key("id", seed) / 2147483647.0).alias("u"))
     chosen = picks.join(bands, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", source)
     turn = ranked(chosen, source, "draw").select("draw", source, "rn")
     return turn.join(ranked(df, source, key, seed).drop("_n"), [source, "rn"]).drop("rn")

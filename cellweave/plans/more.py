@@ -310,7 +310,14 @@ def permuted_cells(spark, folder):
     return sample.permute(table(spark, folder, "features").select("cell_id", "stack"), "cell_id", 3)
 
 
-@query("proportional_draws")
+@query(
+    "proportional_draws",
+    f"""WITH s AS (SELECT stack, count(*) AS n FROM features GROUP BY stack), t AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER (ORDER BY stack) - n AS lo FROM s),
+        p AS (SELECT range AS draw, (range * CAST(48271 AS HUGEINT) + 12345) % 2147483647 AS h FROM range(0, (SELECT CAST(floor(count(*) * 0.2) AS BIGINT) FROM features))),
+        c AS (SELECT draw, stack, row_number() OVER (PARTITION BY stack ORDER BY h, draw) AS rn FROM p JOIN t ON h / 2147483647.0 >= lo / CAST(total AS DOUBLE) AND h / 2147483647.0 < (lo + n) / CAST(total AS DOUBLE)),
+        r AS (SELECT cell_id, stack, row_number() OVER (PARTITION BY stack ORDER BY {_H}, cell_id) AS rn FROM features)
+        SELECT c.draw, c.stack, r.cell_id FROM c JOIN r ON c.stack = r.stack AND c.rn = r.rn""",
+)
 def proportional_draws(spark, folder):
     f = table(spark, folder, "features").select("cell_id", "stack")
     return sample.proportional_draws(f, "stack", "cell_id", int(f.count() * 0.2)).select("draw", "stack", "cell_id")
@@ -352,6 +359,19 @@ def pending_sections(spark, folder):
     return catalog.pending(parent, table(spark, folder, "features"), PLANE)
 
 
+@query(
+    "free_jobs",
+    """WITH j AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS i FROM events), m AS (SELECT max(ts) AS now FROM events)
+       SELECT user_id FROM j, m WHERE i = 1 AND event_type <> 'error' AND ts < now - INTERVAL 2 HOUR""",
+)
+def free_jobs(spark, folder):
+    """Keys whose last entry in the log is neither an error nor a reservation younger than two hours."""
+    log = table(spark, folder, "events").select("user_id", F.when(F.col("event_type") == "error", "error").otherwise("reserved").alias("status"), "event_type", "ts")
+    now = F.broadcast(log.agg(F.max("ts").alias("now")))  # one row
+    held = catalog.held(log, ["user_id"], now, "2 HOURS", ["ts", "event_type"])
+    return log.select("user_id").distinct().join(held, "user_id", "left_anti")
+
+
 @query(
     "insert_ignore",
     """SELECT stack, filename FROM (SELECT stack, min(filename) AS filename FROM section_files WHERE idx % 2 = 0 GROUP BY stack, idx) GROUP BY ALL HAVING false

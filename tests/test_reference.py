@@ -303,3 +303,18 @@ def test_normalised_patch_by_a_plain_loop(spark):
         assert n.padded_size == to and np.allclose([n.rotation, n.rotation_confidence, n.horiz_std, n.vert_std, n.mean, n.std], [a + b, confidence, xx**0.5, yy**0.5, circle.mean(), circle.std()], rtol=1e-6)
         at = (to - 2 * r - 1) // 2
         assert np.allclose(np.array(n.padded_patch).reshape(to, to)[at : to - at, at : to - at], twice, atol=1e-6)
+
+
+def test_catalogue_sizes_deletes_and_drops(spark, tmp_path):
+    c = catalog.Catalog(spark, str(tmp_path))
+    c.declare("a", ["k"])
+    c.declare("b", ["k"], "a", lambda rows: rows.select("k"))
+    c.insert("a", spark.createDataFrame([(i, f"v{i}") for i in range(10)], "k int, v string"))
+    c.populate("b")
+    c.delete("a", spark.createDataFrame([(3,), (4,), (99,)], "k int"))
+    assert c.size("a") > 0 and sorted(r.k for r in c.read("a").collect()) == [0, 1, 2, 5, 6, 7, 8, 9]
+    with pytest.raises(ValueError):
+        c.drop("a")
+    c.drop("b")
+    c.drop("a")
+    assert not c.exists("a") and not c.exists("b")
