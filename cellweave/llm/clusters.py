@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.runs import map_sorted_runs
-from ..session import stage
+from ..session import stage, unstage
 
 ALL, MIXED, OPEN = 0, 1, 2  # of two balls' members: all similar, some similar and some not, not told by the balls
 _EPS = 1e-9
@@ -222,7 +222,8 @@ def power_iterate(nodes: DataFrame, links: DataFrame, rounds: int = 4) -> DataFr
     for _ in range(rounds):
         sums = links.join(at.select(F.col("id").alias("b"), *VECTORS), "b").groupBy("a").agg(*[F.sum(F.col("w") * F.col(e)).alias(f"s{e}") for e in VECTORS])
         moved = [((F.col("n") * F.col(e) + F.coalesce(f"s{e}", F.lit(0))) / F.col("degree")).cast("long").alias(e) for e in VECTORS]
-        at = stage(at.join(sums, at.id == sums.a, "left").select("id", "n", "degree", *moved), "nodes")
+        before, at = at, stage(at.join(sums, at.id == sums.a, "left").select("id", "n", "degree", *moved), "nodes")
+        unstage(before)
     return at
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import global_prefix
 from ..operators.skew import lookup
-from ..session import stage
+from ..session import stage, unstage
 
 
 def _small(pairs: list[tuple]) -> dict:
@@ -70,11 +70,13 @@ def components(links: DataFrame, small: int = 100_000, depth: int = 0, hub: int
     for layer in layers[1:]:
         labelled = labelled.unionByName(layer)
     labelled = stage(labelled, "labelled")
+    unstage(*layers, frontier)
     left = pieces(labelled.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "pa")
     right = pieces(labelled.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "pb")
     collisions = stage(
         adjacency.where("a < b").join(left, ["a", "pa"]).join(right, ["b", "pb"]).where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "collisions"
     )
+    unstage(adjacency, both)
     if collisions.count() <= small:
         merged = _small([tuple(r) for r in collisions.collect()])
         above = spark.createDataFrame(list(merged.items()), f"label {kind}, component {kind}")
