@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-BUCKETS = 1 << 20  # hashed features; bounds the model and all that reaches the driver
-_VIEW = BUCKETS  # bit of a feature: of a mark its shape, of a sentence a word
+HALF = 1 << 20
+BUCKETS = 2 * HALF  # of hashed features; bounds the model and all that reaches the driver
+_CODES = 1 << 29  # a feature is known by a code below this
+_VIEW = _CODES  # bit of a feature: of a mark its shape, of a sentence a word
 MARK, TRUSTED, QUOTED = 1, 2, 4  # bits of a passage
 
 # Elements of HTML that are markup and no placeholder.
@@ -87,7 +89,17 @@ def _norm(word: str) -> str:
 
 
 def _hash(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & (_CODES - 1)
+
+
+def buckets_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two buckets of every feature, one in each half: a feature that shares one with a common feature seldom shares both."""
+    c = codes.astype(np.int64) & (_CODES - 1)
+    return c & (HALF - 1), HALF + ((c * 0x9E3779B1 >> 13) & (HALF - 1))
+
+
+def _count(codes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    return sum(np.bincount(b, weights, BUCKETS) for b in buckets_of(codes))
 
 
 def _mark(line: str, begin: int, end: int) -> tuple[str, list[int]]:
@@ -121,7 +133,7 @@ class Cutter:
         """Every word once, then every pair of neighbours, ends included, once."""
         codes = [h for _, h in words]
         framed = [1, *codes, 2]
-        pairs = {((a & (BUCKETS - 1)) * 0x9E3779B1 + (b & (BUCKETS - 1)) * 0x85EBCA77 >> 9) & (BUCKETS - 1) for a, b in zip(framed, framed[1:], strict=False)}
+        pairs = {((a & (_CODES - 1)) * 0x9E3779B1 + (b & (_CODES - 1)) * 0x85EBCA77 >> 9) & (_CODES - 1) for a, b in zip(framed, framed[1:], strict=False)}
         return [*dict.fromkeys(codes), *pairs]
 
     def passages(self, text: str) -> tuple[list[list[int]], list[int]]:
@@ -156,7 +168,7 @@ class Cutter:
                 while j + 1 < len(words) and words[j + 1][1] == words[i][1] and words[i][1] & _VIEW:
                     j += 1
                 if j - i >= 2:
-                    features.append([words[i][1], _hash("repeated") | _VIEW])
+                    features.append([words[i][1], _hash("\x02repeated") | _VIEW])
                     bits.append(TRUSTED)
                     kept.append(("\x02", 3))
                 else:
@@ -188,8 +200,8 @@ def passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 class Model:
     """Log odds of every feature, and for marks [1] and sentences [0] the prior's log odds: alone, and beside residue of the same kind."""
 
-    def __init__(self, weights: np.ndarray, alone: np.ndarray, beside: np.ndarray, coverage: float, first: bool):
-        self.weights, self.alone, self.beside, self.coverage, self.first = weights, alone, beside, coverage, first
+    def __init__(self, weights: np.ndarray, seen: np.ndarray, alone: np.ndarray, beside: np.ndarray, coverage: float, first: bool):
+        self.weights, self.seen, self.alone, self.beside, self.coverage, self.first = weights, seen, alone, beside, coverage, first
 
     def judge(self, batch: pa.RecordBatch, labelled: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(probability, probability that the record holds other residue of the kind, features, their passages, passages' records).
@@ -202,7 +214,8 @@ class Model:
         record = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("n").offsets.to_numpy()))
         coded = batch.column("f").flatten().to_numpy()
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        flat, view = coded & (BUCKETS - 1), coded >= _VIEW
+        one, two = buckets_of(coded)
+        flat, view = np.where(self.seen[one] <= self.seen[two], one, two), coded >= _VIEW  # the bucket less shared
         mark = (bits & MARK).astype(np.int64)
         own = self.weights[mark[owner], flat].astype(float)
         if self.first:  # labels of marks were chosen by shape: at first only names and neighbours speak, and only for
@@ -222,7 +235,7 @@ class Model:
         before = np.log1p(-np.minimum(probability(score + self.alone[mark], thin), 1 - 1e-12))
         other = np.clip(1 - np.exp(np.bincount(group, before, 2 * batch.num_rows)[group] - before), 0, 1)
         prior = other * self.beside[mark] + (1 - other) * self.alone[mark]
-        return probability(score + prior, thin & ((other < 0.5) | (mark == 1))), other, flat, owner, record
+        return probability(score + prior, thin & ((other < 0.5) | (mark == 1))), other, coded, owner, record
 
 
 def _log_odds(p: np.ndarray) -> np.ndarray:
@@ -242,16 +255,18 @@ def learn(table: DataFrame, coverage: float = 0.65, shrink: tuple[float, float]
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, totals = np.zeros(BUCKETS), np.zeros(2)
         for batch in batches:
-            seen += np.bincount(batch.column("f").flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+            seen += _count(batch.column("f").flatten().to_numpy())
             totals += np.bincount(batch.column("bits").flatten().to_numpy() & MARK, minlength=2)
         k = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, [-1, -2]).astype(np.int32)), pa.array(np.append(seen[k], totals))], names=["k", "n"])
 
     def gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """(value of every bucket, values of the keys -1, -2, …): at most one row a bucket."""
-        got = rows.groupBy("k").agg(F.sum("n").alias("n")).toPandas().to_numpy().reshape(-1, 2)
-        k, out, extra = got[:, 0].astype(int), np.zeros(BUCKETS), np.zeros(12)
-        out[k[k >= 0]], extra[-k[k < 0] - 1] = got[k >= 0, 1], got[k < 0, 1]
+        got = rows.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        out, extra = np.zeros(BUCKETS, dtype=np.float32), np.zeros(12)
+        for batch in got.to_batches():
+            k, n = batch.column("k").to_numpy(), batch.column("n").to_numpy()
+            out[k[k >= 0]], extra[-k[k < 0] - 1] = n[k >= 0], n[k < 0]
         return out, extra
 
     seen, totals = gathered(table.mapInArrow(every, "k int, n double"))
@@ -262,7 +277,7 @@ def learn(table: DataFrame, coverage: float = 0.65, shrink: tuple[float, float]
 
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             model = held.value
-            positive, sums = np.zeros((2, BUCKETS)), np.zeros((5, 2))
+            positive, sums = np.zeros(BUCKETS), np.zeros((5, 2))
             for batch in batches:
                 bits = batch.column("bits").flatten().to_numpy()
                 if not len(bits):
@@ -271,31 +286,33 @@ def learn(table: DataFrame, coverage: float = 0.65, shrink: tuple[float, float]
                 if model is None:
                     sizes = batch.column("n").flatten().to_numpy()
                     p, owner = (bits & TRUSTED > 0).astype(float), np.repeat(np.arange(len(sizes)), sizes)
-                    flat, other = batch.column("f").flatten().to_numpy() & (BUCKETS - 1), np.zeros(len(bits))
+                    coded, other = batch.column("f").flatten().to_numpy(), np.zeros(len(bits))
                 else:
-                    p, other, flat, owner, _ = model.judge(batch, True)
+                    p, other, coded, owner, _ = model.judge(batch, True)
                 some = p[owner] > 1e-6
-                for kind in (0, 1):
-                    of = some & (mark[owner] == kind)
-                    positive[kind] += np.bincount(flat[of], p[owner[of]], BUCKETS)
+                positive += _count(coded[some], p[owner[some]])
                 for i, v in enumerate((p, p * other, other, p * (1 - other), 1 - other)):
                     sums[i] += np.bincount(mark, v, 2)
-            both = positive.sum(axis=0)
-            k = np.flatnonzero(both)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1 - np.arange(10)).astype(np.int32)), pa.array(np.append(both[k], sums.ravel()))], names=["k", "n"])
+            k = np.flatnonzero(positive)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1 - np.arange(10)).astype(np.int32)), pa.array(np.append(positive[k], sums.ravel()))], names=["k", "n"])
 
         positive, extra = gathered(table.mapInArrow(expect, "k int, n double"))
         held.destroy()
         expected, with_other, other, alone, no_other = extra[:10].reshape(5, 2)
         share = np.clip(expected / totals, 1e-5, 0.5)
         # features of the two kinds are told apart by name; a bucket's evidence is taken against the share of the kind that asks
-        weights = [np.log((positive + s) / (seen * r + s)) - np.log((np.maximum(seen - positive, 0) + s) / (seen * (1 - r) + s)) for s, r in zip(shrink, share, strict=True)]
+        weights = np.empty((2, BUCKETS), dtype=np.float32)
+        for at in range(0, BUCKETS, 1 << 17):
+            part = slice(at, at + (1 << 17))
+            plus, every_ = positive[part].astype(float), seen[part].astype(float)
+            for kind, (s, r) in enumerate(zip(shrink, share, strict=True)):
+                weights[kind, part] = np.log((plus + s) / (every_ * r + s)) - np.log((np.maximum(every_ - plus, 0) + s) / (every_ * (1 - r) + s))
         if turn == 0:
             prior_alone = prior_beside = _log_odds(np.clip(share, 1e-5, 0.9))
         else:
             prior_alone = _log_odds(np.clip((alone + 0.5) / (no_other + 1), 1e-5, 0.9))
             prior_beside = _log_odds(np.clip((with_other + 0.5) / (other + 1), 1e-4, 0.9))
-        model = Model(np.stack(weights).astype(np.float32), prior_alone, prior_beside, coverage, turn == 0)
+        model = Model(weights, seen, prior_alone, prior_beside, coverage, turn == 0)
         if before is not None and np.abs(expected - before).sum() <= close * max(1.0, expected.sum()):
             break
         before = expected
