@@ -311,14 +311,14 @@ MAPS = ((448, 224), (224, 112))  # Fixed values: window and stride of the refere
 @query("significance_map")
 def significance_map(spark, folder):
     """Both maps over all features, told apart by ``window``."""
-    coarse, fine = [grow.significance(cells(spark, folder), PLANE, FEATURES, w, stride).withColumn("window", F.lit(w)) for w, stride in MAPS]
-    return coarse.unionByName(fine)
+    return grow.significance(cells(spark, folder), PLANE, FEATURES, MAPS).select(*PLANE, "wx", "wy", "score", "n", "window")
 
 
 @query("region_growing")
 def region_growing(spark, folder):
     """Regions of both maps, each grown at its own stride."""
-    coarse, fine = [grow.grow(grow.significance(cells(spark, folder), PLANE, FEATURES, w, stride), PLANE, stride).withColumn("window", F.lit(w)) for w, stride in MAPS]
+    scores = grow.significance(cells(spark, folder), PLANE, FEATURES, MAPS)
+    coarse, fine = [grow.grow(scores.where(F.col("window") == w).drop("window"), PLANE, stride).withColumn("window", F.lit(w)) for w, stride in MAPS]
     return coarse.unionByName(fine)
 
 

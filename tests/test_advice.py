@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from cellweave import session
 from cellweave.operators import geometry, grow
 from cellweave.plans import more, reference  # noqa: F401  # they fill the registry
 from cellweave.plans.registry import QUERIES
@@ -84,3 +85,16 @@ def test_small_brains_get_their_share_of_the_files(spark, tmp_path):
         share = math.floor(len(own) / 3000 * 100_000)
         want |= {(i, stack, k // share) for k, i in enumerate(own) if share and k // share < 20}
     assert got == want and {s for _, s, _ in got} == {"small", "large"}
+
+
+def test_significance_writes_no_row_for_each_window_and_feature(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [("a" if i % 4 else "b", i % 3 // 2 + 1, *(int(v) for v in rng.integers(0, 900, 2)), *(None if rng.random() < 0.1 else float(v) for v in rng.integers(0, 9, len(FEATURES)))) for i in range(2000)]
+    spark.createDataFrame(rows, "stack string, section int, x int, y int, " + ", ".join(f"{f} double" for f in FEATURES)).coalesce(1).write.parquet(f"{tmp_path}/features.parquet")
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    monkeypatch.setitem(session._OWN, spark.sparkContext.applicationId, f"file://{tmp_path}/shared")
+    get = lambda: {(r.window, r.stack, r.section, r.wx, r.wy): (r.n, round(r.score, 9)) for r in QUERIES["significance_map"](spark, str(tmp_path)).collect()}
+    whole = get()
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) <= 4 * size
+    monkeypatch.setattr(grow, "PLANE_VALUES", 120)  # planes are shared out by features
+    assert get() == whole and len({k[1:3] for k in whole}) == 4
