@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
-
 
 PLANE_VALUES = 100_000  # cells of a plane whose features one task handles together
 
@@ -172,31 +169,63 @@ def ks_within(inner: DataFrame, outer: DataFrame, plane: list[str], sub: list[st
     return both.groupBy(*plane, *sub, "feature").agg(F.max(F.greatest(before, after)).alias("d"), F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
-def grow(scores: DataFrame, plane: list[str], stride: int, share: float = 0.5) -> DataFrame:
+def grow(scores: DataFrame, plane: list[str], stride: int | Column, share: float = 0.5) -> DataFrame:
     """(plane, wx, wy, region): regions of neighbouring windows that score at least ``share`` of their seed's score.
 
-    In every plane, seeds are the windows of highest score among their eight neighbours; all regions of all planes grow
+    In every plane, seeds are the windows of highest score among their eight neighbours; all regions of a plane grow
     together, one ring of neighbours a round until no window is left to take, and a window goes to the seed of highest score
-    that reaches it first. What is taken is staged every few rounds, so the plan stays short.
+    that reaches it first. A plane's windows, which are fewer than its cells, are grown in one task; nothing is staged.
     """
-    s = stage(scores.select(*plane, "wx", "wy", "score"), "scores")
-    steps = F.explode(F.array(*[F.struct(F.lit(i * stride).alias("i"), F.lit(j * stride).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]))
-    around = s.select(*plane, "wx", "wy", steps.alias("d"), F.col("score").alias("other")).select(*plane, (F.col("wx") + F.col("d.i")).alias("wx"), (F.col("wy") + F.col("d.j")).alias("wy"), F.struct("other", F.col("wx").alias("ox"), F.col("wy").alias("oy")).alias("o"))
-    top = around.groupBy(*plane, "wx", "wy").agg(F.max("o").alias("best"))
-    me = F.struct(F.col("score").alias("other"), F.col("wx").alias("ox"), F.col("wy").alias("oy"))
-    seeds = s.join(top, [*plane, "wx", "wy"], "left").where((F.col("score") > 0) & (F.col("best").isNull() | (me > F.col("best"))))
-    taken = stage(seeds.select(*plane, "wx", "wy", F.struct("score", "wx", "wy").alias("seed")), "regions")
-    edge = taken
-    for turn in count(1):
-        reach = edge.select(*plane, "wx", "wy", "seed", steps.alias("d")).select(*plane, (F.col("wx") + F.col("d.i")).alias("wx"), (F.col("wy") + F.col("d.j")).alias("wy"), "seed")
-        claims = reach.join(s, [*plane, "wx", "wy"]).where(F.col("score") >= share * F.col("seed.score")).groupBy(*plane, "wx", "wy").agg(F.max("seed").alias("seed"))
-        edge = stage(claims.join(taken, [*plane, "wx", "wy"], "left_anti").select(*plane, "wx", "wy", "seed"), "edge")
-        if edge.isEmpty():
-            break
-        taken = taken.unionByName(edge)
-        if turn % 8 == 0:
-            taken = stage(taken, "regions")
-    return taken.select(*plane, "wx", "wy", F.concat_ws("_", F.col("seed.wx"), F.col("seed.wy")).alias("region"))
+    located = scores.where(" AND ".join(f"{c} IS NOT NULL" for c in plane)).select(*plane, "wx", "wy", "score", (F.lit(stride) if isinstance(stride, int) else stride).alias("_stride"))
+    kinds = dict(located.dtypes)
+
+    def regions(keys, table):
+        import numpy as np
+        import pyarrow as pa
+
+        wx, wy, score, step = (table.column(c).to_numpy() for c in ("wx", "wy", "score", "_stride"))
+        at, seed = grown(wx, wy, score, int(step[0]), share)
+        fixed = [pa.array([k.as_py()] * len(at), table.schema.field(c).type) for k, c in zip(keys, plane, strict=True)]
+        names, of = np.unique(seed, return_inverse=True)
+        named = pa.array([f"{wx[k]}_{wy[k]}" for k in names], "string").take(pa.array(of))
+        return pa.table([*fixed, pa.array(wx[at]), pa.array(wy[at]), named], names=[*plane, "wx", "wy", "region"])
+
+    return located.groupBy(*plane).applyInArrow(regions, ", ".join(f"{c} {kinds[c]}" for c in (*plane, "wx", "wy")) + ", region string")
+
+
+def grown(wx, wy, score, stride: int, share: float):
+    """(window, seed): which windows are taken, and by which seed, as positions in one plane's windows."""
+    import numpy as np
+
+    n = len(score)
+    order = np.lexsort((wy, wx, score))
+    rank = np.empty(n, "int64")
+    rank[order] = np.arange(n)  # by score, then by place
+    wide = int(wy.max()) - int(wy.min()) + 2 * stride + 1
+    key = (wx.astype("int64") - int(wx.min())) * wide + (wy.astype("int64") - int(wy.min())) + stride
+    by = np.argsort(key)
+    keys = key[by]
+    near = np.full((n, 8), -1, "int64")
+    for k, (i, j) in enumerate((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)):
+        want = key + (i * wide + j) * stride
+        at = np.minimum(np.searchsorted(keys, want), n - 1)
+        near[:, k] = np.where(keys[at] == want, by[at], -1)
+    around = np.where(near >= 0, rank[near], -1).max(axis=1)
+    edge = np.flatnonzero((score > 0) & (rank > around))
+    seed = np.full(n, -1, "int64")  # rank of each window's seed
+    seed[edge] = rank[edge]
+    claim = np.full(n, -1, "int64")
+    while len(edge):
+        to, by_seed = near[edge], np.repeat(seed[edge][:, None], 8, axis=1)
+        can = (to >= 0) & (seed[to] < 0)
+        to, by_seed = to[can], by_seed[can]
+        can = score[to] >= share * score[order[by_seed]]
+        to, by_seed = to[can], by_seed[can]
+        np.maximum.at(claim, to, by_seed)
+        edge = np.unique(to)
+        seed[edge] = claim[edge]
+    at = np.flatnonzero(seed >= 0)
+    return at, order[seed[at]]
 
 
 def mark_cells(cells: DataFrame, ranges: DataFrame, features: list[str]) -> DataFrame:

@@ -318,8 +318,8 @@ def significance_map(spark, folder):
 def region_growing(spark, folder):
     """Regions of both maps, each grown at its own stride."""
     scores = grow.significance(cells(spark, folder), PLANE, FEATURES, MAPS)
-    coarse, fine = [grow.grow(scores.where(F.col("window") == w).drop("window"), PLANE, stride).withColumn("window", F.lit(w)) for w, stride in MAPS]
-    return coarse.unionByName(fine)
+    stride = F.when(F.col("window") == MAPS[0][0], MAPS[0][1]).otherwise(MAPS[1][1])
+    return grow.grow(significance_map(spark, folder), [*PLANE, "window"], stride).select(*PLANE, "wx", "wy", "region", "window")
 
 
 # ---------------------------------------------------------------- regions

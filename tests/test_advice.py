@@ -98,3 +98,26 @@ def test_significance_writes_no_row_for_each_window_and_feature(spark, tmp_path,
     assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) <= 4 * size
     monkeypatch.setattr(grow, "PLANE_VALUES", 120)  # planes are shared out by features
     assert get() == whole and len({k[1:3] for k in whole}) == 4
+
+
+def test_regions_grow_without_a_job_for_each_ring(spark):
+    rng = np.random.default_rng(11)
+    rows = [(p, i * 10, j * 10, float(round(rng.random() * 9, 1))) for p in (1, 2) for i in range(-2, 22) for j in range(22) if rng.random() < 0.8] + [(3, i * 10, 0, 9.0 - 0.1 * i) for i in range(45)]
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("growing", "")
+    got = {(r.p, r.wx, r.wy): r.region for r in grow.grow(spark.createDataFrame(rows, "p int, wx int, wy int, score double"), ["p"], 10).collect()}
+    jobs = len(status.getJobIdsForGroup("growing"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    score, want = {r[:3]: r[3] for r in rows}, {}
+    near = lambda k: [w for i in (-10, 0, 10) for j in (-10, 0, 10) if (i or j) and (w := (k[0], k[1] + i, k[2] + j)) in score]
+    full = lambda k: (score[k], *k)
+    edge = {k: k for k in score if score[k] > 0 and all(full(k) > full(w) for w in near(k))}
+    while edge:
+        want |= edge
+        claims = {}
+        for k, seed in edge.items():
+            for w in near(k):
+                if w not in want and score[w] >= 0.5 * score[seed]:
+                    claims[w] = max(claims.get(w, seed), seed, key=full)
+        edge = claims
+    assert got == {k: f"{seed[1]}_{seed[2]}" for k, seed in want.items()} and jobs <= 4
