@@ -95,91 +95,161 @@ def shift_counts(points: DataFrame, regions: DataFrame, by: list[str], offsets:
     return pairs.select(*keys, (F.lit(0.0) if value is None else value).alias("_v"), F.explode(hit).alias("s")).groupBy(*keys, "s.dx", "s.dy").agg(F.count("*").alias("n"), F.sum("_v").alias("total"))
 
 
-def lattice_hits(x, y, vertices, nx: int, ny: int, step: int, margin: float):
-    """Two boolean arrays (points, 2 ny + 1, 2 nx + 1): which points a polygon holds, and has in its ring, at each shift.
-
-    On the row of one shift in y, the polygon's crossings and the interval that each edge's capsule covers decide all shifts in x
-    at once, so no shift is tested by itself.
-    """
+def row_spans(rows, vertices, margin: float):
+    """On every row (a y): the polygon's crossings in falling order, -inf for none, and the intervals (low, high) that the polygon with its ring covers, disjoint, inf and -inf for none."""
     import numpy as np
 
+    py = rows[:, None]
     a, b = vertices, np.roll(vertices, -1, axis=0)
-    wide = 2 * nx + 1
-    py = (y[:, None] - step * np.arange(-ny, ny + 1)[None]).ravel()[:, None]  # a row for each point and shift in y
-    px = np.repeat(x, 2 * ny + 1)[:, None]
-    row = np.broadcast_to(np.arange(len(py))[:, None], (len(py), len(a)))
-
-    def summed(at, where, sign):
-        """Running sum along each row of ``sign`` from position ``at`` on."""
-        return np.cumsum(np.bincount(row[where] * (wide + 1) + np.clip(at[where] + nx, 0, wide).astype(np.int64), sign[where], len(py) * (wide + 1)).reshape(len(py), wide + 1), axis=1)[:, :wide]
 
-    def crossing(p, q):
+    def crossing(p, q, cut, none):
         with np.errstate(divide="ignore", invalid="ignore"):
-            return (q[:, 0] - p[:, 0]) * (py - p[:, 1]) / (q[:, 1] - p[:, 1]) + p[:, 0]
-
-    one = np.ones(row.shape)
-    crosses = (a[:, 1] > py) != (b[:, 1] > py)
-    within = summed(np.floor((px - np.where(crosses, crossing(a, b), 0.0)) / step) + 1, crosses, one) % 2 == 1
-    low, high = np.full(row.shape, np.inf), np.full(row.shape, -np.inf)
-
-    def reach(where, left, right):
-        np.minimum(low, np.where(where, left, np.inf), out=low)
-        np.maximum(high, np.where(where, right, -np.inf), out=high)
-
-    for c in (a, b):
-        span = np.sqrt(np.maximum(0.0, margin * margin - (py - c[:, 1]) ** 2))
-        reach(np.abs(py - c[:, 1]) <= margin, c[:, 0] - span, c[:, 0] + span)
+            return np.where(cut, (q[:, 0] - p[:, 0]) * (py - p[:, 1]) / (q[:, 1] - p[:, 1]) + p[:, 0], none)
+
+    crossings = np.sort(crossing(a, b, (a[:, 1] > py) != (b[:, 1] > py), -np.inf), axis=1)[:, ::-1]
+    crossings = crossings[:, : max(1, int(np.isfinite(crossings).sum(axis=1).max()))]
+    # each edge's capsule cuts the row in one interval, from the discs of its ends and its two long sides
+    off_row = py - a[:, 1]
+    meets = np.abs(off_row) <= margin
+    span = np.sqrt(np.maximum(0.0, margin * margin - off_row**2))
+    left, right = np.where(meets, a[:, 0] - span, np.inf), np.where(meets, a[:, 0] + span, -np.inf)
+    low, high = np.minimum(left, np.roll(left, -1, axis=1)), np.maximum(right, np.roll(right, -1, axis=1))
     along = b - a
     length = np.hypot(along[:, 0], along[:, 1])[:, None]
     off = np.where(length > 0, np.stack([-along[:, 1], along[:, 0]], axis=1) / np.where(length > 0, length, 1.0) * margin, 0.0)
-    corners = [a + off, b + off, b - off, a - off]
-    for p, q in zip(corners, corners[1:] + corners[:1], strict=True):
+    for p, q in ((a + off, b + off), (b - off, a - off)):
         cut = (p[:, 1] > py) != (q[:, 1] > py)
-        at = np.where(cut, crossing(p, q), 0.0)
-        reach(cut, at, at)
-    some = low <= high
-    first, last = np.ceil((px - np.where(some, high, 0.0)) / step), np.floor((px - np.where(some, low, 0.0)) / step)
-    near = summed(first, some & (first <= last), one) - summed(last + 1, some & (first <= last), one) > 0
-    shape = (len(x), 2 * ny + 1, wide)
-    return within.reshape(shape), (near & ~within).reshape(shape)
-
+        np.minimum(low, crossing(p, q, cut, np.inf), out=low)
+        np.maximum(high, crossing(p, q, cut, -np.inf), out=high)
+    pairs = crossings[:, : crossings.shape[1] // 2 * 2]
+    low = np.concatenate([low, np.where(np.isfinite(pairs[:, 1::2]), pairs[:, 1::2], np.inf)], axis=1)
+    high = np.concatenate([high, np.where(np.isfinite(pairs[:, 1::2]), pairs[:, ::2], -np.inf)], axis=1)
+    order = np.argsort(low, axis=1)
+    low, high = np.take_along_axis(low, order, axis=1), np.maximum.accumulate(np.take_along_axis(high, order, axis=1), axis=1)
+    begins = np.isfinite(low)
+    begins[:, 1:] &= low[:, 1:] > high[:, :-1]
+    which = np.cumsum(begins, axis=1) - 1
+    most = max(1, int(which.max()) + 1)
+    first, last = np.full((len(rows), most), np.inf), np.full((len(rows), most), -np.inf)
+    r, c = np.nonzero(begins)
+    first[r, which[r, c]] = low[r, c]
+    r, c = np.nonzero(np.isfinite(low))
+    np.maximum.at(last, (r, which[r, c]), high[r, c])
+    return crossings, first, last
+
+
+def shift_sums(x, y, z, value, vertices, nx: int, ny: int, step: int, margin: float, sums, bound: int = 8192) -> None:
+    """Add to ``sums`` (4, levels, 2 ny + 1, 2 nx + 2) the running differences along x of: points inside, points inside or in the ring, and their sums of ``value``.
+
+    ``z`` is the level of each point. A point and a shift in y meet the polygon on one row; rows repeat, since points differ from them
+    by whole steps, so each row's spans are found once, and a span adds two numbers, where its shifts in x begin and end.
+    """
+    import numpy as np
 
-def shift_search(points: DataFrame, regions: DataFrame, stack: str, section: str, name: str, half: tuple[int, int, int], step: int, margin: float, value: Column | None = None) -> DataFrame:
+    wide = 2 * nx + 2
+    rest, of = np.unique(np.mod(y, step), return_inverse=True)
+    top, bottom = vertices[:, 1].min() - margin, vertices[:, 1].max() + margin
+    least, most = int(np.floor(top / step)) - 1, int(np.ceil(bottom / step))
+    deep = most - least + 1
+    crossings, first, last = row_spans((rest[:, None] + step * np.arange(least, most + 1)[None]).ravel(), vertices, margin)
+    shift = np.round((y - np.mod(y, step)) / step).astype("int64")
+    shape = sums.shape[1:]
+
+    def add(k, cell, at, v, sign):
+        cell = cell * wide + np.clip(at + nx, 0, wide - 1).astype("int64")
+        sums[k] += sign * np.bincount(cell, minlength=sums[k].size).reshape(shape)
+        sums[k + 2] += sign * np.bincount(cell, v, minlength=sums[k].size).reshape(shape)
+
+    for i in range(0, len(x), bound):  # bounds the arrays
+        part = slice(i, i + bound)
+        j = shift[part, None] - np.arange(least, most + 1)[None]  # the shift in y that brings the point to each row
+        p, k = np.nonzero(np.abs(j) <= ny)
+        row, cell, px, v = of[part][p] * deep + k, z[part][p] * shape[1] + j[p, k] + ny, x[part][p], value[part][p]
+        for c in range(first.shape[1]):
+            low, high = first[row, c], last[row, c]
+            some = np.flatnonzero(low <= high)
+            a, b = np.ceil((px[some] - high[some]) / step), np.floor((px[some] - low[some]) / step)
+            held = (a <= b) & (a <= nx) & (b >= -nx)
+            some = some[held]
+            add(1, cell[some], a[held], v[some], 1)
+            add(1, cell[some], b[held] + 1, v[some], -1)
+        for c in range(crossings.shape[1]):  # every crossing passed turns inside and outside round
+            at = crossings[row, c]
+            some = np.flatnonzero(at > -np.inf)
+            add(0, cell[some], np.floor((px[some] - at[some]) / step) + 1, v[some], -1 if c % 2 else 1)
+
+
+def shift_search(points: DataFrame, regions: DataFrame, stack: str, section: str, name: str, half: tuple[int, int, int], step: int, margin: float, value: Column | None = None, tile: int = 4096) -> DataFrame:
     """(stack, name, dx, dy, dz, positive, negative, positive_total, negative_total): points, and their sums of ``value``, inside each region and in its ring at every shift.
 
-    Shifts are -half..half steps in x and y and whole sections in z. Shifts that meet no point have no row. Regions go to the sections
-    that exist by an equi-join on section + dz; each batch of pairs is counted before the shuffle.
+    Shifts are -half..half steps in x and y and whole sections in z. Shifts that meet no point have no row. A region is counted in one task, that of the
+    tile of its upper left corner, and points go to the tiles whose regions reach their neighbourhood; so no pair of point and region is a row, and
+    the counts, which are far more than the input, are not shuffled. Regions of one ``name`` are counted together.
     """
     nx, ny, nz = half
-    plane = [stack, section]
-    shifted = regions.where(F.size("vertices") >= 3).withColumn("dz", F.explode(F.sequence(F.lit(-nz), F.lit(nz)))).withColumn(section, F.col(section) + F.col("dz"))
-    placed = shifted.join(points.select(*plane).distinct(), plane).select(*plane, name, "vertices", "dz")
-    located = points.select(*plane, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.lit(0.0) if value is None else value.cast("double")).alias("_v"))
-    pairs = in_cells(located, placed, plane, margin + step * max(nx, ny), 2048).select(stack, name, "dz", "x", "y", "_v", "vertices")
+    reach, near = margin + step * max(nx, ny), tile // 4
+    at = lambda c, size: F.floor(F.col(c) / size).cast("long")
+    boxed = regions.where(F.size("vertices") >= 3).where(f"{stack} IS NOT NULL AND {section} IS NOT NULL").select("*", *bounding_box(F.col("vertices"))).where("left IS NOT NULL AND up IS NOT NULL")
+    ends = [f(c).alias(c) for c, f in (("left", F.min), ("right", F.max), ("up", F.min), ("down", F.max))]
+    named = boxed.groupBy(stack, name).agg(*ends, F.collect_list(F.struct(F.col(section).alias("s"), F.col("vertices").alias("vertices"))).alias("outlines"))
+    placed = named.withColumn("_ax", at("left", tile)).withColumn("_ay", at("up", tile))
+    span = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - reach) / near).cast("long"), F.floor((F.col(b) + reach) / near).cast("long")))
+    wanted = placed.select(stack, "_ax", "_ay", "up", "down", span("left", "right").alias("_cx")).distinct().select(stack, "_ax", "_ay", "_cx", span("up", "down").alias("_cy")).distinct()
+    located = points.where(" AND ".join(f"{c} IS NOT NULL" for c in (stack, section, "x", "y"))).select(
+        stack, section, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.lit(0.0) if value is None else value.cast("double")).alias("_v")
+    )
+    sent = located.withColumn("_cx", at("x", near)).withColumn("_cy", at("y", near)).join(wanted, [stack, "_cx", "_cy"])
+    tagged = sent.select(stack, "_ax", "_ay", F.lit(0).alias("_kind"), F.col(section).alias("_z"), "x", "y", "_v", *[F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in (name, "outlines")]).unionByName(
+        placed.select(stack, "_ax", "_ay", F.lit(1).alias("_kind"), F.lit(None).cast(located.schema[section].dataType).alias("_z"), *[F.lit(None).cast("double").alias(c) for c in ("x", "y", "_v")], name, "outlines")
+    )
+    key = [stack, "_ax", "_ay"]
+    tasks = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as small partitions are much work here and must not be put together
+    ordered = tagged.repartition(tasks, *key).sortWithinPartitions(*key, "_kind", "_z")  # a tile's points come before its regions
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        held, pieces, sections = None, [], None
         for batch in batches:
-            frame = batch.select([stack, name, "dz", "x", "y", "_v"]).to_pandas()
-            for (s, n, z), at in frame.groupby([stack, name, "dz"], dropna=False, sort=False).indices.items():
-                corners = np.array([[v["x"], v["y"]] for v in batch.column("vertices")[int(at[0])].as_py()], dtype=float)
-                sums = np.zeros((4, 2 * ny + 1, 2 * nx + 1))
-                for i in range(0, len(at), 256):  # bounds the arrays
-                    part = frame.iloc[at[i : i + 256]]
-                    hits = lattice_hits(part["x"].to_numpy(), part["y"].to_numpy(), corners, nx, ny, step, margin)
-                    for k, hit in enumerate(hits):
-                        sums[k] += hit.sum(0)
-                        sums[k + 2] += np.tensordot(part["_v"].to_numpy(), hit, 1)
-                j, i = np.nonzero(sums[0] + sums[1])
-                if len(i):
-                    ints = [pa.array((c * step).astype("int32")) for c in (i - nx, j - ny)]
-                    counts = [pa.array(sums[k][j, i].astype("int64")) for k in (0, 1)]
-                    fixed = [pa.array([v] * len(i), batch.schema.field(c).type) for c, v in ((stack, s), (name, n))]
-                    yield pa.RecordBatch.from_arrays([*fixed, *ints, pa.array(np.full(len(i), z, "int32")), *counts, *[pa.array(sums[k][j, i]) for k in (2, 3)]], names)
+            columns = [batch.column(c).to_pylist() for c in key]
+            kind = batch.column("_kind").to_numpy()
+            tiles = list(zip(*columns, strict=True))
+            starts = [i for i in range(len(tiles)) if not i or tiles[i] != tiles[i - 1] or kind[i] != kind[i - 1]] + [len(tiles)]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                if tiles[lo] != held:
+                    held, pieces, sections = tiles[lo], [], None
+                if not kind[lo]:
+                    pieces.append([batch.column(c).slice(lo, hi - lo).to_numpy() for c in ("_z", "x", "y", "_v")])
+                    continue
+                if sections is None:
+                    sections, x, y, v = [np.concatenate(c) for c in zip(*pieces, strict=True)] if pieces else [np.zeros(0)] * 4
+                    sections = sections.astype("int64")
+                for r in range(lo, hi):
+                    met = []
+                    for outline in batch.column("outlines")[r].as_py():
+                        corners = np.array([[c["x"], c["y"]] for c in outline["vertices"]], dtype=float)
+                        a, b = np.searchsorted(sections, [outline["s"] - nz, outline["s"] + nz + 1])
+                        (left, up), (right, down) = corners.min(axis=0) - reach, corners.max(axis=0) + reach
+                        some = a + np.flatnonzero((x[a:b] >= left) & (x[a:b] <= right) & (y[a:b] >= up) & (y[a:b] <= down))
+                        if len(some):
+                            met.append((corners, some, sections[some] - outline["s"]))
+                    if not met:
+                        continue
+                    levels = np.unique(np.concatenate([dz for _, _, dz in met]))  # shifts by sections that meet points
+                    sums = np.zeros((4, len(levels), 2 * ny + 1, 2 * nx + 2))
+                    for corners, some, dz in met:
+                        shift_sums(x[some], y[some], np.searchsorted(levels, dz), v[some], corners, nx, ny, step, margin, sums)
+                    sums = np.cumsum(sums, axis=3)[..., :-1]
+                    k, j, i = np.nonzero(sums[1])
+                    if len(i):
+                        inside, all_in, inside_total, total = (s[k, j, i] for s in sums)
+                        same = pa.array(np.zeros(len(i), "int32"))
+                        fixed = [pa.array(batch.column(c).slice(r, 1)).take(same) for c in (stack, name)]
+                        ints = [pa.array(c.astype("int32")) for c in ((i - nx) * step, (j - ny) * step, levels[k])]
+                        counts = [pa.array(c.astype("int64")) for c in (inside, all_in - inside)]
+                        yield pa.RecordBatch.from_arrays([*fixed, *ints, *counts, pa.array(inside_total), pa.array(total - inside_total)], names)
 
     names = [stack, name, "dx", "dy", "dz", "positive", "negative", "positive_total", "negative_total"]
     kinds = dict(regions.dtypes)
-    counted = pairs.mapInArrow(count, f"{stack} {kinds[stack]}, {name} {kinds[name]}, dx int, dy int, dz int, positive long, negative long, positive_total double, negative_total double")
-    return counted.groupBy(*names[:5]).agg(*[F.sum(c).alias(c) for c in names[5:]])
+    return ordered.mapInArrow(count, f"{stack} {kinds[stack]}, {name} {kinds[name]}, dx int, dy int, dz int, positive long, negative long, positive_total double, negative_total double")

@@ -121,3 +121,23 @@ def test_regions_grow_without_a_job_for_each_ring(spark):
                     claims[w] = max(claims.get(w, seed), seed, key=full)
         edge = claims
     assert got == {k: f"{seed[1]}_{seed[2]}" for k, seed in want.items()} and jobs <= 4
+
+
+def test_shift_search_counts_outlines_of_one_name_together_and_tiles_alike(spark):
+    rng = np.random.default_rng(12)
+    shape = "stack string, section int, name string, vertices array<struct<x:double,y:double>>"
+    bow, far = [(-60.0, -50.0), (60.0, 70.0), (60.0, -50.0), (-60.0, 70.0)], [(900.0, 900.0), (1000.0, 905.0), (950.0, 1010.5)]
+    points = [("a", int(s), int(x), int(y), 2) for s, x, y in zip(rng.integers(1, 4, 400), *rng.integers(-300, 1300, (2, 400)), strict=True)]
+    cells = spark.createDataFrame(points, "stack string, section int, x int, y int, area int")
+
+    def search(rows, **more):
+        found = geometry.shift_search(cells, spark.createDataFrame(rows, shape), "stack", "section", "name", (3, 2, 1), 43, 50.0, F.col("area"), **more).collect()
+        return {(r.name, r.dx, r.dy, r.dz): np.array([r.positive, r.negative, r.positive_total, r.negative_total]) for r in found}
+
+    apart = search([("a", 2, "p", bow), ("a", 3, "q", far)])
+    want = {}
+    for (_, *k), v in apart.items():
+        want[("r", *k)] = want.get(("r", *k), 0) + v
+    for tile in (4096, 256):
+        got = search([("a", 2, "r", bow), ("a", 3, "r", far)], tile=tile)
+        assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in got)
