@@ -99,16 +99,19 @@ def row_spans(rows, vertices, margin: float):
     """On every row (a y): the polygon's crossings in falling order, -inf for none, and the intervals (low, high) that the polygon with its ring covers, disjoint, inf and -inf for none."""
     import numpy as np
 
-    py = rows[:, None]
     a, b = vertices, np.roll(vertices, -1, axis=0)
 
-    def crossing(p, q, cut, none):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(cut, (q[:, 0] - p[:, 0]) * (py - p[:, 1]) / (q[:, 1] - p[:, 1]) + p[:, 0], none)
+    def crossing(p, q, py, none):
+        cut = (p[:, 1] > py) != (q[:, 1] > py)
+        rise = np.where(p[:, 1] == q[:, 1], 1.0, q[:, 1] - p[:, 1])
+        return np.where(cut, (q[:, 0] - p[:, 0]) * (py - p[:, 1]) / rise + p[:, 0], none)
 
-    crossings = np.sort(crossing(a, b, (a[:, 1] > py) != (b[:, 1] > py), -np.inf), axis=1)[:, ::-1]
-    crossings = crossings[:, : max(1, int(np.isfinite(crossings).sum(axis=1).max()))]
+    within = np.flatnonzero((rows >= a[:, 1].min()) & (rows <= a[:, 1].max()))
+    met = np.sort(crossing(a, b, rows[within, None], -np.inf), axis=1)[:, ::-1]
+    crossings = np.full((len(rows), max(1, int(np.isfinite(met).sum(axis=1).max(initial=0)))), -np.inf)
+    crossings[within] = met[:, : crossings.shape[1]]
     # each edge's capsule cuts the row in one interval, from the discs of its ends and its two long sides
+    py = rows[:, None]
     off_row = py - a[:, 1]
     meets = np.abs(off_row) <= margin
     span = np.sqrt(np.maximum(0.0, margin * margin - off_row**2))
@@ -118,9 +121,25 @@ def row_spans(rows, vertices, margin: float):
     length = np.hypot(along[:, 0], along[:, 1])[:, None]
     off = np.where(length > 0, np.stack([-along[:, 1], along[:, 0]], axis=1) / np.where(length > 0, length, 1.0) * margin, 0.0)
     for p, q in ((a + off, b + off), (b - off, a - off)):
-        cut = (p[:, 1] > py) != (q[:, 1] > py)
-        np.minimum(low, crossing(p, q, cut, np.inf), out=low)
-        np.maximum(high, crossing(p, q, cut, -np.inf), out=high)
+        r = np.flatnonzero((rows >= min(p[:, 1].min(), q[:, 1].min())) & (rows <= max(p[:, 1].max(), q[:, 1].max())))
+        at = crossing(p, q, py[r], np.nan)
+        low[r], high[r] = np.fmin(low[r], at), np.fmax(high[r], at)
+    # edges that meet the row are linked where it meets the disc of their common vertex; the inside ends at edges, so if all are linked there is one interval
+    parts = np.isfinite(low).sum(axis=1) - meets.sum(axis=1)
+    loose = np.flatnonzero(parts > 1)
+    first, last = low.min(axis=1)[:, None], high.max(axis=1)[:, None]
+    if len(loose):
+        some_first, some_last = merged_spans(crossings[loose], low[loose], high[loose])
+        first = np.concatenate([first, np.full((len(rows), some_first.shape[1] - 1), np.inf)], axis=1)
+        last = np.concatenate([last, np.full((len(rows), some_last.shape[1] - 1), -np.inf)], axis=1)
+        first[loose], last[loose] = some_first, some_last
+    return crossings, first, last
+
+
+def merged_spans(crossings, low, high):
+    """The union of each row's intervals and of those between its crossings, as disjoint intervals."""
+    import numpy as np
+
     pairs = crossings[:, : crossings.shape[1] // 2 * 2]
     low = np.concatenate([low, np.where(np.isfinite(pairs[:, 1::2]), pairs[:, 1::2], np.inf)], axis=1)
     high = np.concatenate([high, np.where(np.isfinite(pairs[:, 1::2]), pairs[:, ::2], -np.inf)], axis=1)
@@ -130,12 +149,12 @@ def row_spans(rows, vertices, margin: float):
     begins[:, 1:] &= low[:, 1:] > high[:, :-1]
     which = np.cumsum(begins, axis=1) - 1
     most = max(1, int(which.max()) + 1)
-    first, last = np.full((len(rows), most), np.inf), np.full((len(rows), most), -np.inf)
+    first, last = np.full((len(low), most), np.inf), np.full((len(low), most), -np.inf)
     r, c = np.nonzero(begins)
     first[r, which[r, c]] = low[r, c]
     r, c = np.nonzero(np.isfinite(low))
     np.maximum.at(last, (r, which[r, c]), high[r, c])
-    return crossings, first, last
+    return first, last
 
 
 def shift_sums(x, y, z, value, vertices, nx: int, ny: int, step: int, margin: float, sums, bound: int = 8192) -> None:
@@ -166,13 +185,11 @@ def shift_sums(x, y, z, value, vertices, nx: int, ny: int, step: int, margin: fl
         p, k = np.nonzero(np.abs(j) <= ny)
         row, cell, px, v = of[part][p] * deep + k, z[part][p] * shape[1] + j[p, k] + ny, x[part][p], value[part][p]
         for c in range(first.shape[1]):
-            low, high = first[row, c], last[row, c]
-            some = np.flatnonzero(low <= high)
-            a, b = np.ceil((px[some] - high[some]) / step), np.floor((px[some] - low[some]) / step)
-            held = (a <= b) & (a <= nx) & (b >= -nx)
-            some = some[held]
-            add(1, cell[some], a[held], v[some], 1)
-            add(1, cell[some], b[held] + 1, v[some], -1)
+            a, b = np.ceil((px - last[row, c]) / step), np.floor((px - first[row, c]) / step)  # a > b where there is none
+            held = np.flatnonzero((a <= b) & (a <= nx) & (b >= -nx))
+            some = cell[held]
+            add(1, some, a[held], v[held], 1)
+            add(1, some, b[held] + 1, v[held], -1)
         for c in range(crossings.shape[1]):  # every crossing passed turns inside and outside round
             at = crossings[row, c]
             some = np.flatnonzero(at > -np.inf)
